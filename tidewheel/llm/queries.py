@@ -6,8 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import piece_codec, source_mix
-from .shared import small_batches, table
+from . import fingerprint, licences, line_quality, piece_codec, source_mix, warc
+from .shared import shared_folder, small_batches, table
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    archives = warc.write(table(spark, sf_dir, "pages"), shared_folder(spark))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.assess(table(spark, sf_dir, "documents"))
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 500)
+    return fingerprint.digests(table(spark, sf_dir, "documents"))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +46,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_source_mix": op9_source_mix, "op10_sentencepiece": op10_sentencepiece}
+    return {f.__name__: f for f in (op2_warc, op4_line_quality, op6_licences, op8_fingerprint, op9_source_mix, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": source_mix.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op4_line_quality": line_quality.ORACLE, "op9_source_mix": source_mix.ORACLE}
