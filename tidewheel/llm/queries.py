@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, licences, line_quality, piece_codec, source_mix, warc
+from . import fingerprint, licences, line_quality, pii, piece_codec, source_mix, toxicity, warc
 from .shared import shared_folder, small_batches, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     archives = warc.write(table(spark, sf_dir, "pages"), shared_folder(spark))
@@ -20,6 +25,11 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -46,7 +56,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op4_line_quality, op6_licences, op8_fingerprint, op9_source_mix, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_pii, op2_warc, op4_line_quality, op5_toxicity, op6_licences, op8_fingerprint, op9_source_mix, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
