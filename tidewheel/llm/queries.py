@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, licences, line_quality, pii, piece_codec, source_mix, toxicity, warc
+from . import fingerprint, jaccard_join, licences, line_quality, pii, piece_codec, source_mix, toxicity, warc
 from .shared import shared_folder, small_batches, table
 
 
@@ -21,6 +21,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 2000)
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.assess(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_warc, op4_line_quality, op5_toxicity, op6_licences, op8_fingerprint, op9_source_mix, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_pii, op2_warc, op3_jaccard_join, op4_line_quality, op5_toxicity, op6_licences, op8_fingerprint, op9_source_mix, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
