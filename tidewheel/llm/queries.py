@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard_join, licences, line_quality, pii, piece_codec, source_mix, toxicity, warc
+from . import fingerprint, jaccard_join, licences, line_quality, pii, piece_codec, repeats, source_mix, toxicity, warc
 from .shared import shared_folder, small_batches, table
 
 
@@ -39,6 +39,11 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 500)
     return fingerprint.digests(table(spark, sf_dir, "documents"))
@@ -61,7 +66,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_warc, op3_jaccard_join, op4_line_quality, op5_toxicity, op6_licences, op8_fingerprint, op9_source_mix, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_pii, op2_warc, op3_jaccard_join, op4_line_quality, op5_toxicity, op6_licences, op7_repeats, op8_fingerprint, op9_source_mix, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
