@@ -31,6 +31,8 @@ FEATURES = 4096
 BEGINNING = 4
 THRESHOLD = 0.7
 CLASSES = 64
+#: Features whose toxic share is nearer to the sample's than so many standard deviations are noise.
+FAR = 4.0
 
 #: What a sign may be read as.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou", "#": "h"}
@@ -208,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
     # How far the toxic share of a feature's documents is from that of the sample, in standard deviations.
     share = positive / max(n, 1)
     far = F.abs(F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
-    top = [r.feature for r in counts.orderBy(F.desc(far), "feature").limit(n_features).collect()]
+    top = [r.feature for r in counts.filter(far >= FAR).orderBy(F.desc(far), "feature").limit(n_features).collect()]
     number = {f: k for k, f in enumerate(top)}
     known = F.array_intersect("seen", F.array(*map(F.lit, top)).cast("array<string>")) if top else F.array().cast("array<string>")
     kept = rows.select("doc_id", "toxic", known.alias("seen")).orderBy("doc_id", "toxic").collect()  # ``sample`` documents at most, unless ids repeat
