@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Radius of the earth.
 RADIUS = {"miles": 3959.0, "km": 6371.0}
@@ -107,7 +108,7 @@ def time_part(ts: Column, field: str) -> Column:
     return F.extract(F.lit(field), ts)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_prime(numbers: pd.Series) -> pd.Series:
     """Trial division by odd numbers up to the root, a whole batch at a time."""
     x = numbers.fillna(0).astype("int64").to_numpy()
