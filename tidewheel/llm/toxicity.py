@@ -39,12 +39,14 @@ LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 KEEP, READ, DROP = 6.0, 0.7, 0.3  # channel costs: a sign kept as it is, read as a letter, a character dropped
 _SIGNS = re.escape("".join(LOOKS_LIKE))
 _LETTER = r"[^\W\d_]"
-_MIXED = rf"(?:{_LETTER}+[{_SIGNS}]|[{_SIGNS}]+{_LETTER})(?:{_LETTER}|[{_SIGNS}])*"
+# A sign that stands before a letter, or one alone after the last: rows of signs behind a word are no letters.
+_MIXED = rf"(?:{_LETTER}|[{_SIGNS}])*[{_SIGNS}]{_LETTER}+(?:[{_SIGNS}](?![{_SIGNS}]))?|{_LETTER}{{2,}}[0-9@$+](?!\w|[{_SIGNS}])"
 _SPACED = rf"(?<!\w){_LETTER}(?:[ .\-_*]{_LETTER}){{2,}}(?!\w)"
 _REPEATED = rf"{_LETTER}*?({_LETTER})\1\1{_LETTER}*"
+SPACED = re.compile(_SPACED)
 SUSPECT = re.compile(f"{_SPACED}|{_MIXED}|{_REPEATED}")
-_QUICK = re.compile(rf"[{_SIGNS}]|({_LETTER})\1\1|{_SPACED}")
 WORDS = re.compile(rf"{_LETTER}+")
+_ENDS = ".,;:!?'\"()\n"
 
 
 def class_of(char: str) -> int:
@@ -145,16 +147,53 @@ def decode(token: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+_known: dict[str, str] = {}
+_known_model: list[np.ndarray] = []
+
+
+def _decoded(token: str, model: np.ndarray) -> str:
+    """decode(), with what a worker has read already under the same model."""
+    if not _known_model or _known_model[0] is not model or len(_known) > 200_000:
+        _known.clear()
+        _known_model[:] = [model]
+    found = _known.get(token)
+    if found is None:
+        found = decode(token, model)
+        if len(token) <= 40:
+            _known[token] = found
+    return found
+
+
 def restore(text: str, model: np.ndarray) -> str:
-    """The text in lower case with every suspect token replaced by its best reading."""
+    """The text in lower case with every suspect token replaced by its best reading.
+
+    Cheap tests come first, as nearly all tokens are plain: words of letters alone are left out at once.
+    """
     text = unicodedata.normalize("NFC", text.lower())
-    if not _QUICK.search(text):
-        return text
-    return SUSPECT.sub(lambda m: decode(m[0], model), text)
+    read = lambda m: _decoded(m[0], model)
+    parts = text.split(" ")
+    if b"\1\1\1" in bytes([n if n < 9 else 9 for n in map(len, parts)]) and SPACED.search(text):
+        text = SPACED.sub(read, text)
+        parts = text.split(" ")
+    tripled = [3 * c for c in set(text) if c.isalpha() and 3 * c in text]
+    changed = False
+    for k, part in enumerate(parts):
+        if (part.isalpha() or part.strip(_ENDS).isalpha()) and not (tripled and any(t in part for t in tripled)):
+            continue
+        new = SUSPECT.sub(read, part)
+        if new != part:
+            parts[k], changed = new, True
+    return " ".join(parts) if changed else text
+
+
+def words_of(text: str) -> set[str]:
+    parts = set(text.split(" "))
+    words = {p for p in parts if p.isalpha()}
+    return words.union(*map(WORDS.findall, parts - words))
 
 
 def features(text: str) -> set[str]:
-    words = set(WORDS.findall(text))
+    words = words_of(text)
     return words | {w[:BEGINNING] + "-" for w in words if len(w) > BEGINNING}
 
 
@@ -229,7 +268,11 @@ def score(docs: DataFrame, trained: tuple[np.ndarray, dict[str, float], float],
         import pandas as pd
 
         model, weights, intercept = shared.value
-        z = [intercept + sum(weights.get(f, 0.0) for f in features(restore(t or "", model))) for t in texts]
+        z = []
+        for t in texts:
+            words = words_of(restore(t or "", model))
+            own = (words & weights.keys()) | ({w[:BEGINNING] + "-" for w in words if len(w) > BEGINNING} & weights.keys())
+            z.append(intercept + sum(weights[f] for f in sorted(own)))
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))))
 
     return docs.withColumn(name, run(F.col(f"`{text}`")))
