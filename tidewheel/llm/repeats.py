@@ -40,7 +40,7 @@ PLACES = LENGTH - ANCHOR + 1  # of an anchor in a string
 WIDTH = LENGTH + PLACES - 1
 ANCHOR_BITS, DOC_BITS = 27, 24
 #: Bytes hashed and windows built at once.
-BYTES, WINDOWS = 1 << 21, 60_000
+BYTES, WINDOWS = 1 << 18, 60_000
 _U = np.uint64
 _PLAIN = mix64(np.arange(256, dtype=_U) ^ _CODE[0])
 ID = -(2**63)
@@ -70,7 +70,8 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     place = (least[starts] & _U(0xFFFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     last = np.concatenate([new[1:] - 1, [len(starts) - 1]])
-    return hashes[place[new]], place[new], starts[new], starts[last]
+    # Least hashes crowd together; mixed once more they spread evenly over the bit map.
+    return mix64(hashes[place[new]]), place[new], starts[new], starts[last]
 
 
 def repeated(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:

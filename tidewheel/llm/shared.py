@@ -15,8 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long, so a batch that goes to Python holds few of them."""
+    """Texts can be long, so a batch that goes to Python holds few of them; and shuffle files go when the query that wrote them ends.
+
+    What a later step reads again is in the shared folder by then (``stash``).
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_folder(spark: SparkSession) -> str:
