@@ -44,15 +44,23 @@ SHORT = 64
 BLOCK = 1024
 BITS = 1 << 24
 SEEN = 200_000
+BYTES = 1 << 18
 _LIMIT = np.int64(round((CUT - 0.5) * 2**64))  # hashes are compared as signed numbers
 
 
 def document_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text, as signed 64-bit numbers."""
-    hashes, offsets = shingle_hashes(*word_hashes(texts), SHINGLE)
-    signed = hashes.view(np.int64)
-    for k in range(len(texts)):
-        yield np.unique(signed[offsets[k] : offsets[k + 1]])
+    """The sorted distinct shingle hashes of each text, as signed 64-bit numbers; texts are hashed a few at once."""
+    k = 0
+    while k < len(texts):
+        m, size = k, 0
+        while m < len(texts) and (m == k or size + len(texts[m]) <= BYTES):
+            size += len(texts[m])
+            m += 1
+        hashes, offsets = shingle_hashes(*word_hashes(texts[k:m]), SHINGLE)
+        signed = hashes.view(np.int64)
+        for i in range(m - k):
+            yield np.unique(signed[offsets[i] : offsets[i + 1]])
+        k = m
 
 
 def set_key(own: np.ndarray) -> int:
@@ -261,14 +269,16 @@ def search(lists: DataFrame, info: DataFrame) -> DataFrame:
     return both.filter(sized & (F.col("common") + F.least("hot_a", "hot_b") >= reach - rest)).select("a", "b").distinct()
 
 
-def links_among(keys: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def links_among(keys: list[int], sets: list[np.ndarray], parts: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of all links among the given classes, by a T-occurrence search over inverted lists.
 
-    Each set counts the members of its shingles' short lists; the few longest lists, fewer than its least
-    overlap, are probed only for members that can still reach theirs.
+    Each set merges the short lists of its shingles; of the longest, fewer than its least overlap, those over ``SHORT``
+    are set apart and binary-probed in the sets of members that can still reach theirs. Classes of one part (``parts``: equal numbers)
+    are known to be connected: links within it are not looked for.
     """
     order = np.argsort([len(x) for x in sets], kind="stable")
     keys, sets = [keys[i] for i in order], [sets[i] for i in order]
+    part = np.unique(np.asarray(parts)[order], return_inverse=True)[1] if parts is not None else np.arange(len(sets))
     sizes = np.array([len(x) for x in sets])
     flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -277,26 +287,16 @@ def links_among(keys: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
     counts = np.diff(np.concatenate([first, [len(flat)]])) if len(flat) else np.zeros(0, np.int64)
     names = flat[first] if len(flat) else flat
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     out = []
     for i in range(1, len(sets)):
         low = int(np.searchsorted(sizes, -(-3 * int(sizes[i]) // 4)))  # smaller partners start here
-        if low >= i:
+        if (part[low:i] == part[i]).all():
             continue
         at = np.searchsorted(names, sets[i])
         at = at[counts[at] > 1]
-        own = counts[at]
-        at = at[np.argsort(own, kind="stable")]
-        own = counts[at]
+        at = at[np.argsort(counts[at], kind="stable")]
         least = needed(int(sizes[i]), int(sizes[low]))
-        probed = min(least - 1, int(np.sum(own > 64)))
+        probed = min(least - 1, int(np.sum(counts[at] > SHORT)))
         merged = at[: len(at) - probed]
         if not len(merged):
             continue
@@ -304,16 +304,13 @@ def links_among(keys: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]
         members = owner[np.repeat(first[merged] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())]
         total = np.bincount(members[(members < i) & (members >= low)], minlength=i)
         goal = -(-3 * (sizes[:i] + sizes[i]) // 7)
+        apart = names[at[len(at) - probed :]]
         for j in np.flatnonzero((total > 0) & (total + probed >= goal)):
-            if find(i) == find(j):
+            if part[i] == part[j]:
                 continue
-            more = 0
-            for x in at[len(at) - probed :]:
-                line = owner[first[x] : first[x] + counts[x]]
-                p = int(np.searchsorted(line, j))
-                more += p < len(line) and line[p] == j
-            if total[j] + more >= goal[j]:
-                root[find(i)] = find(j)
+            place = np.minimum(np.searchsorted(sets[j], apart), sizes[j] - 1)
+            if total[j] + int(np.sum(sets[j][place] == apart)) >= goal[j]:
+                part[part == part[i]] = part[j]
                 out.append((keys[i], keys[j]))
     return out
 
@@ -345,13 +342,13 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verify(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) among the classes of each group (g, _key); groups are of bounded size."""
+    """Links (a, b) among the classes of each group (g, _key, part); classes of one part are connected already. Groups are of bounded size."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = links_among(pdf["_key"].tolist(), [np.frombuffer(x, np.int64) for x in pdf["shingles"]])
+        found = links_among(pdf["_key"].tolist(), [np.frombuffer(x, np.int64) for x in pdf["shingles"]], pdf["part"].tolist())
         return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype="int64")
 
-    return groups.distinct().join(sets, "_key").select("g", "_key", "shingles").groupBy("g").applyInPandas(run, "a long, b long")
+    return groups.distinct().join(sets, "_key").select("g", "_key", "part", "shingles").groupBy("g").applyInPandas(run, "a long, b long")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -374,25 +371,32 @@ def join(docs: DataFrame) -> DataFrame:
     info = stash(table.join(hot.groupBy("_key").agg(F.count("*").alias("hot")), "_key", "left").select("_key", "rep", "n", "below", F.coalesce("hot", F.lit(0)).alias("hot"), least("n", "below").alias("least")))
     pairs = stash(search(lists, info))
 
-    # Classes that can meet the threshold in hot lists alone, in the lists that a partner must share one of.
-    heavy = hot.join(info.filter("hot >= least and 5 * below >= n").select("_key", "hot", "least"), "_key")
-    place = F.row_number().over(Window.partitionBy("_key").orderBy("shingle"))
-    heavy = stash(heavy.withColumn("k", place).filter(F.col("k") <= F.col("hot") - F.col("least") + 1).select("shingle", "_key"))
-    pivots = heavy.groupBy("shingle").agg(F.min("_key").alias("pivot"))
-    stars = heavy.join(pivots, "shingle").filter("_key <> pivot").select(F.col("pivot").alias("a"), F.col("_key").alias("b")).distinct()
+    # Equal hot lists are one token with a weight, as those of one shared passage are.
+    listed = hot.groupBy("shingle").agg(F.count("*").alias("m"), F.sum(F.xxhash64("_key").cast("decimal(38,0)")).alias("sig"))
+    named_lists = listed.select("shingle", "m", F.xxhash64("m", "sig").alias("token"))
+    tokens = stash(hot.join(named_lists, "shingle").groupBy("token", "m", "_key").agg(F.count("*").alias("weight")))
+
+    # Classes that can meet the threshold in hot lists alone, in the lists that a partner must share one of: rare ones
+    # first, up to where the rest weighs less than the threshold.
+    heavy = tokens.join(info.filter("hot >= least and 5 * below >= n").select("_key", "hot", "least"), "_key")
+    earlier = Window.partitionBy("_key").orderBy("m", "token").rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.coalesce(F.sum("weight").over(earlier), F.lit(0))
+    heavy = stash(heavy.withColumn("_spent", spent).filter(F.col("hot") - F.col("_spent") >= F.col("least")).select("token", "_key"))
+    pivots = heavy.groupBy("token").agg(F.min("_key").alias("pivot"))
+    stars = heavy.join(pivots, "token").filter("_key <> pivot").select(F.col("pivot").alias("a"), F.col("_key").alias("b")).distinct()
 
     # Odd classes with the others of like size in their hot lists; sizes in steps of 4 / 3, so like sizes are in neighbouring steps.
     step = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("long")
-    sized = hot.join(info.select("_key", step.alias("step"), (5 * F.col("below") < F.col("n")).alias("odd")), "_key")
-    strange = sized.filter("odd").groupBy("shingle", F.col("step").alias("y")).agg(F.count("*").alias("_odds"))
-    around = sized.select("shingle", "_key", "odd", "step", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("y"))
-    around = around.join(strange, ["shingle", "y"])
-    crowd = around.groupBy("shingle", "y").agg(F.count("*").alias("_all"))
-    around = around.join(crowd, ["shingle", "y"])
+    sized = tokens.join(info.select("_key", step.alias("step"), (5 * F.col("below") < F.col("n")).alias("odd")), "_key")
+    strange = sized.filter("odd").groupBy("token", F.col("step").alias("y")).agg(F.count("*").alias("_odds"))
+    around = sized.select("token", "_key", "odd", "step", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("y"))
+    around = around.join(strange, ["token", "y"])
+    crowd = around.groupBy("token", "y").agg(F.count("*").alias("_all"))
+    around = around.join(crowd, ["token", "y"])
     odds, alls = F.ceil(F.col("_odds") / BLOCK).cast("int"), F.ceil(F.col("_all") / BLOCK).cast("int")
-    own_odd = around.filter("odd and step = y").select("shingle", "y", "_key", F.pmod(F.xxhash64("_key"), odds).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), alls - 1)).alias("j"))
-    beside = around.select("shingle", "y", "_key", F.explode(F.sequence(F.lit(0), odds - 1)).alias("i"), F.pmod(F.xxhash64("_key"), alls).cast("int").alias("j"))
-    sides = stash(own_odd.unionByName(beside).select(_group(F.col("shingle"), F.col("y"), -1 - F.col("i").cast("long") * 2**31 - F.col("j")).alias("g"), "_key").distinct())
+    own_odd = around.filter("odd and step = y").select("token", "y", "_key", F.pmod(F.xxhash64("_key"), odds).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), alls - 1)).alias("j"))
+    beside = around.select("token", "y", "_key", F.explode(F.sequence(F.lit(0), odds - 1)).alias("i"), F.pmod(F.xxhash64("_key"), alls).cast("int").alias("j"))
+    sides = stash(own_odd.unionByName(beside).select(_group(F.col("token"), F.col("y"), -1 - F.col("i").cast("long") * 2**31 - F.col("j")).alias("g"), "_key").distinct())
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_key")).unionByName(heavy.select("_key")).unionByName(sides.select("_key")).distinct().join(info.select("_key", "rep"), "_key").select("rep", "_key")
     sets = whole_sets(docs, stash(wanted))
@@ -405,22 +409,22 @@ def join(docs: DataFrame) -> DataFrame:
     size = stars.groupBy("a").agg(F.count("*").alias("m"))
     chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK))
     warm = stars.join(size, "a").select(_group(F.col("a"), F.col("a"), chunk + 1).alias("g"), F.explode(F.array("a", "b")).alias("_key"))
-    links = stash(verify(cold.unionByName(warm).unionByName(sides), sets))
+    links = stash(verify(cold.unionByName(warm).unionByName(sides).withColumn("part", F.col("_key")), sets))
 
     first = components(links)
-    labelled = heavy.join(first.withColumnRenamed("node", "_key"), "_key", "left").select("shingle", "_key", F.coalesce("root", "_key").alias("root"))
+    labelled = heavy.join(first.withColumnRenamed("node", "_key"), "_key", "left").select("token", "_key", F.coalesce("root", "_key").alias("root"))
     open_lists = (
-        labelled.groupBy("shingle")
+        labelled.groupBy("token")
         .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("_key").cast("decimal(38,0)")).alias("sig"))
         .filter("lo <> hi")
         .groupBy("m", "sig")
-        .agg(F.min("shingle").alias("shingle"))
+        .agg(F.min("token").alias("token"))
     )
     # Blocks of a list, in all pairs: only what no pivot has connected gets here.
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = labelled.join(open_lists.select("shingle", blocks.alias("_blocks")), "shingle").withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int"))
+    placed = labelled.join(open_lists.select("token", blocks.alias("_blocks")), "token").withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int"))
     other = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    rest = other.select(_group(F.col("shingle"), F.least("_block", "_other"), F.greatest("_block", "_other")).alias("g"), "_key")
+    rest = other.select(_group(F.col("token"), F.least("_block", "_other"), F.greatest("_block", "_other")).alias("g"), "_key", F.col("root").alias("part"))
     more = stash(verify(rest, sets))
 
     final = components(links.unionByName(more))
