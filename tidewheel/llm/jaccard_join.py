@@ -413,18 +413,16 @@ def join(docs: DataFrame) -> DataFrame:
 
     first = components(links)
     labelled = heavy.join(first.withColumnRenamed("node", "_key"), "_key", "left").select("token", "_key", F.coalesce("root", "_key").alias("root"))
-    open_lists = (
-        labelled.groupBy("token")
-        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("_key").cast("decimal(38,0)")).alias("sig"))
-        .filter("lo <> hi")
-        .groupBy("m", "sig")
-        .agg(F.min("token").alias("token"))
-    )
-    # Blocks of a list, in all pairs: only what no pivot has connected gets here.
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = labelled.join(open_lists.select("token", blocks.alias("_blocks")), "token").withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int"))
+    # Lists with several components left, under the component that most of their classes have: the lists of one family
+    # of near copies are nearly the same and are compared once, as one group.
+    shares = labelled.groupBy("token", "root").agg(F.count("*").alias("n"))
+    open_lists = shares.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("most")).filter("parts > 1")
+    gathered = stash(labelled.join(open_lists.select("token", "most"), "token").select("most", "_key", "root").distinct())
+    # Blocks of a group, in all pairs: only what no pivot has connected gets here.
+    blocks = gathered.groupBy("most").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    placed = gathered.join(blocks, "most").withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int"))
     other = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    rest = other.select(_group(F.col("token"), F.least("_block", "_other"), F.greatest("_block", "_other")).alias("g"), "_key", F.col("root").alias("part"))
+    rest = other.select(_group(F.col("most"), F.least("_block", "_other"), F.greatest("_block", "_other")).alias("g"), "_key", F.col("root").alias("part"))
     more = stash(verify(rest, sets))
 
     final = components(links.unionByName(more))
