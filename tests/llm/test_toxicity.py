@@ -37,6 +37,14 @@ def test_restore(trained):
         assert toxicity.restore(plain, model) == plain
 
 
+def test_restore_signs_at_the_ends(trained):
+    model = trained[0]
+    for written, meant in (("idi07", "idiot"), ("1d107", "idiot"), ("1d!0+", "idiot"), ("!diot", "idiot"), ("idiot!", "idiot"), ("m0r0n!!", "moron"), ("(m0r0n)", "moron)"), ("water###", "water"), ("i d i o t,", "idiot,")):
+        assert toxicity.restore(f"the {written} house", model) == f"the {meant} house", written
+    for written in ("a$$", "sh!7", "fu**", "(unt", "p@thet!("):  # the lattice gets the whole word
+        assert toxicity.SUSPECT.fullmatch(written) and toxicity.restore(written, model) == toxicity.decode(written, model), written
+
+
 def test_held_out_accuracy(spark, trained):
     docs, labels = corpus()
     got = toxicity.predict(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()

@@ -4,7 +4,7 @@
    share 64 classes, so the table has a fixed size; what is counted grows with the corpus.
 2. Deobfuscation: tokens that mix letters with look-alike signs, spaced-out letters and letters repeated
    three times or more become a lattice of readings: a sign may be itself or a letter that it looks like, a repeated
-   letter may be dropped, and so may a separator inside a spaced-out word. Viterbi finds the reading with
+   letter may be dropped, and so may a separator inside a spaced-out word or punctuation before or behind a word. Viterbi finds the reading with
    the best sum of channel costs and language model.
 3. Scoring: logistic regression on the restored text's words and word beginnings. It is fitted on at most
    ``SAMPLE`` labelled rows, those with the smallest digests of their ids; features are the ``FEATURES``
@@ -37,16 +37,19 @@ FAR = 4.0
 #: What a sign may be read as.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou", "#": "h"}
 KEEP, READ, DROP = 6.0, 0.7, 0.3  # channel costs: a sign kept as it is, read as a letter, a character dropped
+#: Signs that may be mere punctuation before or behind a word, and the cost of leaving them out there.
+BEFORE, BEHIND, EDGE = "(*#|", "!(*#|", 3.0
 _SIGNS = re.escape("".join(LOOKS_LIKE))
 _LETTER = r"[^\W\d_]"
-# A sign that stands before a letter, or one alone after the last: rows of signs behind a word are no letters.
-_MIXED = rf"(?:{_LETTER}|[{_SIGNS}])*[{_SIGNS}]{_LETTER}+(?:[{_SIGNS}](?![{_SIGNS}]))?|{_LETTER}{{2,}}[0-9@$+](?!\w|[{_SIGNS}])"
+# Letters and signs in any order, with at least one of each: signs at the ends count too, the lattice decides on them.
+_MIXED = rf"(?:{_LETTER}+[{_SIGNS}]|[{_SIGNS}]+{_LETTER})(?:{_LETTER}|[{_SIGNS}])*"
 _SPACED = rf"(?<!\w){_LETTER}(?:[ .\-_*]{_LETTER}){{2,}}(?!\w)"
 _REPEATED = rf"{_LETTER}*?({_LETTER})\1\1{_LETTER}*"
 SPACED = re.compile(_SPACED)
 SUSPECT = re.compile(f"{_SPACED}|{_MIXED}|{_REPEATED}")
 WORDS = re.compile(rf"{_LETTER}+")
-_ENDS = ".,;:!?'\"()\n"
+#: Stripped from plain tokens: only characters that LOOKS_LIKE does not read.
+_ENDS = ".,;:?'\")\n"
 
 
 def class_of(char: str) -> int:
@@ -104,6 +107,7 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
     """The lattice: for each character what it may be read as ('' is dropped), with costs."""
     spaced = bool(re.fullmatch(_SPACED, token))
     out = []
+    first, last = len(token) - len(token.lstrip(BEFORE)), len(token.rstrip(BEHIND))
     for k, c in enumerate(token):
         if spaced and k % 2:
             out.append([("", DROP)])
@@ -120,6 +124,8 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
             own = [(x, READ) for x in LOOKS_LIKE.get(c, "")] + [(c, KEEP)]
             if k > 0 and token[k - 1] == c:
                 own.append(("", DROP))
+            elif k < first or k >= last:
+                own.append(("", DROP if c == token[k + 1 : k + 2] else EDGE))
             out.append(own)
     return out
 
@@ -171,19 +177,13 @@ def restore(text: str, model: np.ndarray) -> str:
     """
     text = unicodedata.normalize("NFC", text.lower())
     read = lambda m: _decoded(m[0], model)
-    parts = text.split(" ")
-    if b"\1\1\1" in bytes([n if n < 9 else 9 for n in map(len, parts)]) and SPACED.search(text):
-        text = SPACED.sub(read, text)
-        parts = text.split(" ")
+    parts = SPACED.sub(read, text).split(" ")
     tripled = [3 * c for c in set(text) if c.isalpha() and 3 * c in text]
-    changed = False
     for k, part in enumerate(parts):
         if (part.isalpha() or part.strip(_ENDS).isalpha()) and not (tripled and any(t in part for t in tripled)):
             continue
-        new = SUSPECT.sub(read, part)
-        if new != part:
-            parts[k], changed = new, True
-    return " ".join(parts) if changed else text
+        parts[k] = SUSPECT.sub(read, part)
+    return " ".join(parts)
 
 
 def words_of(text: str) -> set[str]:
