@@ -31,5 +31,16 @@ def test_like_brute_force_and_own_labels(spark):
     assert tuple(by[None])[1:] == tuple(by[1])[1:]
 
 
+def test_notices_do_not_take_each_others_lookups(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    free = "This is free and unencumbered software released into the public domain"
+    prose = "a person may license the domain under terms of a version subject to redistribution of binary forms and modification in source"
+    texts = [f"{mit}. {bsd}.", f"{bsd}. {mit}. {free}.", f"{prose}. {mit}.", mit, bsd, prose] + [f"plain text number{i}" for i in range(200)]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert [got[i].labels for i in range(7)] == ["bsd,mit", "bsd,mit,unlicense", "mit", "mit", "bsd", "", ""]
+    assert got[0].score == 1.0
+
+
 def test_empty(spark):
     assert licences.scan(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -2,8 +2,9 @@
 
 The index holds, for each word of a few fixed licence templates, the templates and positions where it
 stands. A corpus pass counts in how many documents each licence word occurs; words in more than
-``COMMON`` of all documents are no evidence and leave the index. For each document the ``LOOKED_UP``
-licence words with the highest IDF are looked up, and a posting at position p of a template, met at word i
+``COMMON`` of all documents are no evidence and leave the index. For each document and each template whose key
+phrase stands in it, the ``LOOKED_UP`` of the template's words in the document with the highest IDF are looked up, so
+that notices do not take each other's lookups. A posting at position p of a template, met at word i
 of the document, votes for the template starting at word i - p. Votes for one start add up by IDF; where
 they reach ``SHARE`` of what the template's own rarest words weigh, the template is a candidate, and
 it is accepted if its mandatory key phrase stands in the text.
@@ -92,13 +93,17 @@ def scan(docs: DataFrame) -> DataFrame:
     best = Window.partitionBy("_template").orderBy(F.desc("_idf"), "_position")
     weights = index.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= LOOKED_UP).groupBy("_template").agg(F.sum("_idf").alias("_most"))
 
-    keys = F.array(*[F.when(_phrase(F.col("_w"), phrase), F.lit(t)) for t, (_, _, phrase) in enumerate(TEMPLATES)])
-    held = own.select("_id", "_same", "_w", keys.alias("_phrases"), F.array_intersect("_w", F.array(*map(F.lit, sorted(rare)))).alias("_rare")).filter(F.arrays_overlap("_w", F.array(*map(F.lit, sorted(rare)))))
-    ranked = F.slice(F.sort_array(F.transform("_rare", lambda x: F.named_struct(F.lit("i"), idf[x], F.lit("w"), x)), asc=False), 1, LOOKED_UP)
-    looked = held.select("_id", "_same", "_phrases", F.transform(ranked, lambda s: s["w"]).alias("_looked"), F.posexplode("_w").alias("_i", "_word")).filter(F.array_contains("_looked", F.col("_word")))
+    # For each template the words to look up, or null without its key phrase; array_intersect keeps the order of IDF.
+    none = F.array().cast("array<string>")
+    ranked = [sorted({x for x in text.split() if x in rare}, key=lambda x: (rare[x], x)) for _, text, _ in TEMPLATES]
+    best_words = [F.slice(F.array_intersect(F.array(*map(F.lit, r)), F.col("_rare")), 1, LOOKED_UP) if r else none for r in ranked]
+    lists = F.array(*[F.when(_phrase(F.col("_w"), phrase), best_words[t]) for t, (_, _, phrase) in enumerate(TEMPLATES)])
+    held = own.filter(F.arrays_overlap("_w", F.array(*map(F.lit, sorted(rare))))).withColumn("_rare", F.array_intersect("_w", F.array(*map(F.lit, sorted(rare)))))
+    held = held.select("_id", "_same", "_w", lists.alias("_lists")).filter(F.exists("_lists", lambda x: F.size(x) > 0))
+    looked = held.select("_id", "_same", "_lists", F.posexplode("_w").alias("_i", "_word"))
     votes = (
         looked.join(F.broadcast(index), "_word")
-        .filter(F.array_contains("_phrases", F.col("_template")))
+        .filter(F.array_contains(F.element_at("_lists", F.col("_template") + 1), F.col("_word")))
         .groupBy("_id", "_same", "_template", (F.col("_i") - F.col("_position")).alias("_start"))
         .agg(F.sum("_idf").alias("_votes"), F.count("*").alias("_hits"))
         .join(F.broadcast(weights), "_template")
@@ -114,7 +119,6 @@ def scan(docs: DataFrame) -> DataFrame:
     n_base = F.coalesce(F.size("_found"), F.lit(0))
     n_base = F.when(F.col("_found").isNull(), 0).otherwise(n_base).cast("long")
     starts = F.transform("_found", lambda x: x["start"])
-    none = F.array().cast("array<string>")
     return base.join(accepted, ["_id", "_same"], "left").select(
         "doc_id",
         "n_words",
