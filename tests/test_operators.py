@@ -55,6 +55,24 @@ def test_pattern_goldens(readings):
     assert values(abc, "sensor", "ts") == [(0, ts("2023-04-03 02:00:00"))]
 
 
+def test_hot_keys_are_not_collected(spark):
+    rng = random.Random(4)
+    # A key of one monotone stretch after another: all its rows reach the scan, in several Arrow batches.
+    rows = [(1, i, float(abs(i % 14 - 7))) for i in range(30_000)] + [(2, i, float(rng.randrange(6))) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    want = []
+    for k in (1, 2):
+        own = [(i, v) for kk, i, v in rows if kk == k]
+        want += [(k, own[a][0], own[a][1], own[b][0], own[b][1]) for a, b in patterns.scan_same_direction([v for _, v in own], 4)]
+    got = patterns.same_direction(df, "k", ["i"], "v", 4, "k int, first_i int, first_v double, last_i int, last_v double")
+    assert values(got) == sorted(want)
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "MapInPandas" in plan
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "gone"), (1, 3, "a"), (1, 4, None), (2, 5, "a"), (2, 6, "gone")], "k int, i long, what string")
+    got = relational.totals_since_delete(df, "k", "i", "i", F.col("what") == "gone", "n", "ids")
+    assert values(got, "k", "n", "ids") == [(1, 2, 7)] and "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_patterns_like_brute_force(spark):
     rng = random.Random(3)
     rows = [(i % 3, i, float(rng.randrange(6))) for i in range(600)]

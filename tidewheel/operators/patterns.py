@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.stateful import scan
+
 
 def sequence_abc(df: DataFrame, key: str, order: Sequence[str], a: Column, b: Column, c: Column) -> DataFrame:
     """Matches of three following rows that meet a, b, c in turn, skipping past the last row of a match.
@@ -64,8 +65,9 @@ def scan_same_direction(values: list[float], n: int) -> list[tuple[int, int]]:
 def same_direction(df: DataFrame, key: str, order: Sequence[str], column: str, n: int, schema: str) -> DataFrame:
     """Matches of n following rows that rise or fall throughout, skipping past the last row.
 
-    Which rows are free depends on the matches before, so each key is scanned in order. Only starts of runs that
-    can match are sent to the scan: rows in monotone stretches of n or more, with their place in the key.
+    Which rows are free depends on the matches before, so each key is scanned in order: its rows are read as a sorted
+    sequence in Arrow batches, and only the run that may still become a match is held. Only rows that can match are
+    sent to the scan: those in monotone stretches of n or more, with their place in the key.
     """
     w = Window.partitionBy(key).orderBy(*order)
     sign = F.signum(F.col(column) - F.lag(column).over(w))
@@ -76,14 +78,20 @@ def same_direction(df: DataFrame, key: str, order: Sequence[str], column: str, n
     long = turns.withColumn("_n", length).withColumn("_next", F.lead("_n").over(w)).filter((F.col("_n") >= n - 1) | (F.col("_next") >= n - 1)).select(key, *order, column, "_i")
     names = [key, *[f"first_{c}" for c in (*order, column)], *[f"last_{c}" for c in (*order, column)]]
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i").reset_index(drop=True)
-        piece = (pdf["_i"].diff() != 1).cumsum()
-        rows = []
-        for _, part in pdf.groupby(piece):
-            part = part.reset_index(drop=True)
-            for a, b in scan_same_direction(part[column].tolist(), n):
-                rows.append([part[key][a], *[part[c][a] for c in (*order, column)], *[part[c][b] for c in (*order, column)]])
-        return pd.DataFrame(rows, columns=names)
-
-    return long.groupBy(key).applyInPandas(scan, schema)
+    def step(state: dict, row: dict) -> tuple[dict, list[dict]]:
+        run = state.get("run", [])
+        if run and row["_i"] != run[-1]["_i"] + 1:
+            run = []  # rows between were not sent
+        run = [*run, row]
+        if len(run) > 1:
+            signs = [(b[column] > a[column]) - (b[column] < a[column]) for a, b in zip(run, run[1:], strict=False)]
+            if not signs[-1]:
+                run = run[-1:]
+            elif len(signs) > 1 and signs[-1] != signs[-2]:
+                run = run[-2:]
+        if len(run) < n:
+            return {"run": run}, []
+        places = [run[0][key], *[run[0][c] for c in (*order, column)], *[run[-1][c] for c in (*order, column)]]
+        return {}, [dict(zip(names, places, strict=True))]
+
+    return scan(long, key, list(order), {}, step, schema)

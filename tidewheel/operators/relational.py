@@ -155,15 +155,25 @@ def earliest_value(df: DataFrame, key: str, value: str, order: Sequence[str], na
     return df.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(name))
 
 
-def collected(df: DataFrame, key: str, value: str, order: str, delete: Column) -> DataFrame:
-    """Each key's values in order since its last delete marker; keys that end with one go."""
+def _since_delete(df: DataFrame, key: str, order: str, delete: Column) -> DataFrame:
+    """Each key's rows since its last delete marker."""
     w = Window.partitionBy(key).orderBy(order)
     marks = F.sum(F.when(delete, 1).otherwise(0)).over(w)
     run = df.withColumn("_run", marks).withColumn("_last", F.max("_run").over(Window.partitionBy(key)))
-    kept = run.filter((F.col("_run") == F.col("_last")) & ~F.coalesce(delete, F.lit(False)))
+    return run.filter((F.col("_run") == F.col("_last")) & ~F.coalesce(delete, F.lit(False)))
+
+
+def collected(df: DataFrame, key: str, value: str, order: str, delete: Column) -> DataFrame:
+    """Each key's values in order since its last delete marker; keys that end with one go. For keys of bounded size only."""
+    kept = _since_delete(df, key, order, delete)
     return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda s: s["v"]).alias("values"))
 
 
+def totals_since_delete(df: DataFrame, key: str, value: str, order: str, delete: Column, count: str, total: str) -> DataFrame:
+    """How many rows each key has since its last delete marker, and their sum: nothing is collected."""
+    return _since_delete(df, key, order, delete).groupBy(key).agg(F.count("*").alias(count), F.sum(value).alias(total))
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

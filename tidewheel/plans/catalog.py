@@ -200,8 +200,7 @@ r AS (SELECT *, sum(gone::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS
 l AS (SELECT *, max(run) OVER (PARTITION BY user_id) AS last FROM r)
 SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM l WHERE run = last AND NOT gone GROUP BY ALL""")
 def collect_since_delete(t):
-    out = R.collected(t("events"), "user_id", "event_id", "event_id", F.col("event_type") == "error")
-    return out.select("user_id", F.size("values").cast("long").alias("n"), F.aggregate("values", F.lit(0).cast("long"), lambda a, b: a + b).alias("ids"))
+    return R.totals_since_delete(t("events"), "user_id", "event_id", "event_id", F.col("event_type") == "error", "n", "ids")
 
 
 @query("SELECT event_id, 'click' AS kind FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, 'view' FROM events WHERE event_type = 'view'")
