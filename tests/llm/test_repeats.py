@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewheel.llm import repeats
@@ -81,3 +82,32 @@ def test_construction_like_brute_force():
         own = [bytes(c.astype(np.uint8)) if (c < 256).all() else None for c in windows[s : s + 50].T]
         for i in range(n):
             assert got[s, i] == (own[i] is not None and any(own[j] == own[i] and docs[j] < docs[i] for j in range(n)))
+
+
+def test_hot_anchors_are_split_like_brute_force(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    noise = lambda k: "".join(rng.choice(letters) for _ in range(k))
+    phrase = "a phrase of some forty bytes, all documents"
+    edges = [noise(40) for _ in range(8)]
+    rows = [(i * 7919 % 1009, f"{noise(30)}{rng.choice(edges)}{phrase}{rng.choice(edges)}{noise(30)}" if i % 3 else f"{noise(60)}{phrase}{noise(60)}", 1, "x") for i in range(300)]
+    rows += corpus(5, 60)
+    for hot in (0, 40):
+        got = repeats.remove(spark.createDataFrame(rows, SCHEMA), hot_windows=hot).collect()
+        assert sorted(map(tuple, got)) == brute(rows)
+
+
+def test_hot_anchor_is_not_carried_on(monkeypatch):
+    sizes, real = [], repeats.repeated
+    monkeypatch.setattr(repeats, "WINDOWS", 400)
+    monkeypatch.setattr(repeats, "repeated", lambda windows, docs: sizes.append(windows.shape[1]) or real(windows, docs))
+    rng = random.Random(1)
+    n = 100  # a batch; every window has strings that no other has
+    names = ["h", "id", "same", "at", "shift", "bytes", "hot"]
+    window = lambda: bytes(rng.randrange(256) for _ in range(26)) + b"x" * 24 + bytes(rng.randrange(256) for _ in range(26))
+    columns = lambda k: [[1] * n, list(range(k * n, (k + 1) * n)), [0] * n, [0] * n, [26] * n, [window() for _ in range(n)], [True] * n]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int8(), pa.binary(), pa.bool_()]
+    batches = (pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns(k), types, strict=True)], names=names) for k in range(20))
+    out = list(repeats._build(batches))
+    assert max(sizes) <= 500 and sum(sizes) == 20 * n
+    assert sum(b.num_rows for b in out) == 20 * n * 27

@@ -18,6 +18,11 @@ at the anchor, in 76 rounds. Spark's sorted shuffle files are the external files
 2. Anchors that occur in several documents are found by one aggregate; a bit map of fixed size of them
    (false positives cost work, not correctness) tells the second scan which windows to send.
 3. The windows of each anchor are built as above; covered places go back to their documents.
+4. An anchor with more than ``WINDOWS`` windows is hot. The first scan counts them, and a second bit map marks them
+   (false positives cost work). Its windows are dealt over ``SALTS`` groups, and each build settles what it can: a string
+   that a smaller document of the same build has is covered. Strings that were first in their build are
+   dealt again by their own hash, so only equal strings meet, at most a few for each build, and the smallest document
+   is known when they are read in order. No build is carried on, and no task reads the whole anchor.
 """
 
 from __future__ import annotations
@@ -38,9 +43,11 @@ LENGTH = 50
 ANCHOR = 24
 PLACES = LENGTH - ANCHOR + 1  # of an anchor in a string
 WIDTH = LENGTH + PLACES - 1
-ANCHOR_BITS, DOC_BITS = 27, 24
+ANCHOR_BITS, DOC_BITS, HOT_BITS = 27, 24, 20
 #: Bytes hashed and windows built at once.
 BYTES, WINDOWS = 1 << 18, 60_000
+#: Groups that a hot anchor's windows are dealt over, and strings that are cut out of its builds at once.
+SALTS, STRINGS = 64, 20_000
 _U = np.uint64
 _PLAIN = mix64(np.arange(256, dtype=_U) ^ _CODE[0])
 ID = -(2**63)
@@ -113,10 +120,15 @@ def _aligned(flat: np.ndarray, offsets: np.ndarray, shift: np.ndarray) -> np.nda
     return out
 
 
-def bit_map(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each value of the top ``bits`` bits of column ``h``: 2 ** bits / 8 bytes, whatever the input."""
+def bit_map(hashes: DataFrame, bits: int, hot: Column | None = None) -> np.ndarray:
+    """A bit for each value of the top ``bits`` bits of column ``h``: 2 ** bits / 8 bytes, whatever the input.
+
+    With ``hot``, the top HOT_BITS bits of the rows that meet it have bits of their own behind these, got in the same pass.
+    """
     low = min(20, bits)
     place = F.shiftrightunsigned("h", 64 - bits)
+    if hot is not None:
+        place = F.explode(F.array_compact(F.array(place, F.when(hot, F.shiftrightunsigned("h", 64 - HOT_BITS) + F.lit(1 << bits)))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = np.zeros(1 << low, bool)
@@ -124,7 +136,7 @@ def bit_map(hashes: DataFrame, bits: int) -> np.ndarray:
         return pd.DataFrame({"c": [int(pdf["p"].iloc[0]) >> low], "b": [np.packbits(own, bitorder="little").tobytes()]})
 
     rows = hashes.select(place.alias("p")).distinct().groupBy(F.shiftright("p", low).alias("c")).applyInPandas(run, "c long, b binary").collect()
-    out = np.zeros(1 << (bits - 3), np.uint8)
+    out = np.zeros((1 << (bits - 3)) + ((1 << (HOT_BITS - 3)) if hot is not None else 0), np.uint8)
     for r in rows:
         at = r.c << (low - 3)
         out[at : at + len(r.b)] = np.frombuffer(r.b, np.uint8)
@@ -165,11 +177,11 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         k = m
 
 
-def remove(docs: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, hot_windows: int = WINDOWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text).
 
     A null text is empty; a null doc_id counts as smaller than any other. Rows with one doc_id never remove
-    each other's bytes.
+    each other's bytes. Anchors with more than ``hot_windows`` windows are split over tasks.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -189,8 +201,10 @@ def remove(docs: DataFrame) -> DataFrame:
                 if len(h):
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[at[np.searchsorted(ends, place, "right")]])], names=["h", "id"])
 
-    shared = firsts.mapInArrow(scan, "h long, id long").groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
-    several = spark.sparkContext.broadcast(bit_map(shared.select("h"), ANCHOR_BITS))
+    shared = firsts.mapInArrow(scan, "h long, id long").groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).filter("a < b")
+    marks = bit_map(shared, ANCHOR_BITS, F.col("n") > hot_windows)
+    any_hot = bool(marks[1 << (ANCHOR_BITS - 3) :].any())
+    several = spark.sparkContext.broadcast(marks)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,6 +212,11 @@ def remove(docs: DataFrame) -> DataFrame:
             for raw, starts, ends, at in _chunks(batch):
                 h, place, first, last = anchors(raw, ends)
                 some = np.flatnonzero(_hit(several.value, h, ANCHOR_BITS))
+                hot = np.zeros(len(h), bool)
+                if any_hot:
+                    hot = _hit(several.value[1 << (ANCHOR_BITS - 3) :], h, HOT_BITS)
+                    salts = mix64(ids[at[np.searchsorted(ends, place, "right")]].astype(np.int64).view(_U)) % _U(SALTS)
+                    h = np.where(hot, mix64(h + salts + _U(1)), h)
                 for k in range(0, len(some), 20_000):
                     part = some[k : k + 20_000]
                     f, size = first[part], last[part] + LENGTH - first[part]
@@ -205,11 +224,13 @@ def remove(docs: DataFrame) -> DataFrame:
                     data = raw[np.repeat(f - offsets[:-1], size) + np.arange(offsets[-1])]
                     own = np.searchsorted(ends, place[part], "right")
                     windows = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(ids[at[own]]), pa.array(same[at[own]]), pa.array((f - starts[own]).astype(np.int32)), pa.array((place[part] - f).astype(np.int8)), windows], names=["h", "id", "same", "at", "shift", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(ids[at[own]]), pa.array(same[at[own]]), pa.array((f - starts[own]).astype(np.int32)), pa.array((place[part] - f).astype(np.int8)), windows, pa.array(hot[part])], names=["h", "id", "same", "at", "shift", "bytes", "hot"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = firsts.mapInArrow(cut, "h long, id long, same int, at int, shift byte, bytes binary").repartition(n, "h").sortWithinPartitions("h", "id")
-    spans = sent.mapInArrow(_build, "id long, same int, start int, end int")
+    sent = firsts.mapInArrow(cut, "h long, id long, same int, at int, shift byte, bytes binary, hot boolean").repartition(n, "h").sortWithinPartitions("h", "id")
+    spans = sent.mapInArrow(_build, "h long, id long, same int, start int, end int, string binary")
+    if any_hot:
+        spans = spans.repartition(n, "h").sortWithinPartitions("h", "id").mapInArrow(_settle, "id long, same int, start int, end int")
     covered = stash(spans.groupBy("id", "same").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
 
     touched = spark.sparkContext.broadcast(bit_map(covered.select(F.xxhash64("id").alias("h")), DOC_BITS))
@@ -231,13 +252,19 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covered places, from windows sorted by anchor and document.
 
     An anchor's windows may be more than are built at once: of those done, only the windows that are the first with
-    some string are held for the next batch, in place of all.
+    some string are held for the next batch, in place of all. Of hot anchors nothing is held: the strings that are
+    first in a build are given out with their hash, for ``_settle``.
     """
     held: list[pa.Table] = []
     count = 0
     old = 0  # windows at the front that have given their places already
 
-    def build(table: pa.Table, old: int) -> tuple[pa.RecordBatch | None, np.ndarray]:
+    def rows(table: pa.Table, pick: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray, string: pa.Array) -> pa.RecordBatch:
+        at = pa.array(pick)
+        own = [table.column(c).combine_chunks().take(at) for c in ("id", "same")]
+        return pa.RecordBatch.from_arrays([pa.array(h), *own, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), string], names=["h", "id", "same", "start", "end", "string"])
+
+    def build(table: pa.Table, old: int) -> tuple[list[pa.RecordBatch], np.ndarray]:
         column = table.column("bytes").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -251,11 +278,23 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.diff(np.pad(found, ((1, 1), (0, 0))).astype(np.int8), axis=0).T
         row, start = np.nonzero(edge == 1)
         _, end = np.nonzero(edge == -1)
-        if not len(row):
-            return None, owner
-        zero = (table.column("at").to_numpy() + shift - (PLACES - 1))[row]
-        pick = pa.array(row)
-        return pa.RecordBatch.from_arrays([table.column("id").combine_chunks().take(pick), table.column("same").combine_chunks().take(pick), pa.array((zero + start).astype(np.int32)), pa.array((zero + end - 1 + LENGTH).astype(np.int32))], names=["id", "same", "start", "end"]), owner
+        zero = table.column("at").to_numpy() + shift - (PLACES - 1)
+        out = []
+        if len(row):
+            dealt = mix64(np.arange(len(row), dtype=_U)).view(np.int64)  # spans are final: any task may pass them on
+            out.append(rows(table, row, dealt, zero[row] + start, zero[row] + end - 1 + LENGTH, pa.nulls(len(row), pa.binary())))
+        hot = np.flatnonzero(table.column("hot").to_numpy())
+        for k in range(0, len(hot), STRINGS // PLACES):
+            part = hot[k : k + STRINGS // PLACES]
+            begin = PLACES - 1 - shift[part]
+            place = np.arange(PLACES)[:, None]
+            open_ = ~found[:, part] & (place >= begin) & (place < begin + strings[part])
+            start, own = np.nonzero(open_)
+            text = flat[(offsets[part[own]] + start - begin[own])[:, None] + np.arange(LENGTH)]
+            data = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.arange(0, (len(own) + 1) * LENGTH, LENGTH, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(text))])
+            at = zero[part[own]] + start
+            out.append(rows(table, part[own], _hash_rows(text), at, at + LENGTH, data))
+        return out, owner
 
     for batch in batches:
         held.append(pa.Table.from_batches([batch]))
@@ -271,14 +310,38 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, count, old = [table.slice(tail)], len(h) - tail, 0
         else:
             out, owner = build(table, old)
+            if table.column("hot")[0].as_py():
+                owner = owner[:0]
             table = table.take(pa.array(owner))
             held, count, old = [table], len(owner), len(owner)
-        if out is not None:
-            yield out
+        yield from out
     if count:
-        out, _ = build(pa.concat_tables(held), old)
-        if out is not None:
-            yield out
+        yield from build(pa.concat_tables(held), old)[0]
+
+
+def _hash_rows(text: np.ndarray) -> np.ndarray:
+    """A hash of each row of LENGTH bytes."""
+    words = np.zeros((len(text), -(-LENGTH // 8) * 8), np.uint8)
+    words[:, :LENGTH] = text
+    out = np.zeros(len(text), _U)
+    for word in words.view(_U).T:
+        out = mix64(out ^ word)
+    return out.view(np.int64)
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans as they are, and of the strings, sorted by hash and document, those that a smaller document has too.
+
+    What is held is the smallest document of each string of one hash.
+    """
+    last, firsts = None, {}
+    for batch in batches:
+        keep = []
+        for h, i, string in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            if string is not None and h != last:
+                last, firsts = h, {}
+            keep.append(string is None or i > firsts.setdefault(string, i))
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["id", "same", "start", "end"])
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
