@@ -6,15 +6,15 @@ possible last token. The encoder runs an Aho-Corasick automaton of all pieces ov
 token for each prefix (a match whose left neighbour, the last token of the shorter prefix, is
 compatible), and reads the ids off backwards from the end.
 
-Texts are cut before each run of blanks, which no merge crosses, and the pieces' ids of each cut are
-remembered in the Python worker, in a table of bounded size.
+Texts are cut before each run of blanks, which no merge crosses, and words between letters and other
+signs where no piece of the model has both. What a worker has cut lately is remembered in tables of bounded size.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
@@ -24,10 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import Recent
+
 BLANK = "▁"
-#: Cuts that a worker remembers before it starts again with an empty table.
-REMEMBERED = 400_000
-CUTS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+#: Entries of each table that a worker remembers before it keeps only those that it meets again.
+REMEMBERED = 150_000
+#: Texts of more characters are cut one piece after another, so that their words are never all there at once.
+AT_ONCE = 1_000_000
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+PARTS = re.compile(f"{BLANK}*[{LETTER}]+|{BLANK}*[^{LETTER}{BLANK}]+|{BLANK}+")
+#: A model whose ids of these texts differ from the library's is refused.
+PROBES = ("", " ", "a", "  two  blanks  ", "Ａ ﬁ ² ½ é", "word, word. (word)\n\tword", "1234 56.7", "naïve – 漢字 🙂 \x00", "            ", "tokenization of internationalisation", "a\u2581b")
 
 
 class Vocabulary(NamedTuple):
@@ -40,7 +48,11 @@ class Vocabulary(NamedTuple):
 
 
 def load_vocabulary(path: str) -> Vocabulary:
-    """Read pieces and scores of a BPE model with byte fallback from ``path`` on the driver."""
+    """Read pieces and scores of a BPE model with byte fallback from ``path`` on the driver.
+
+    A ValueError tells of a model that this codec does not encode as the library does: other types than BPE, a
+    normaliser, no blank put before the text, or pieces with a blank behind another character.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -49,7 +61,15 @@ def load_vocabulary(path: str) -> Vocabulary:
     first_byte = next((i for i in ids if model.is_byte(i)), -1)
     if first_byte < 0:
         raise ValueError("the model has no byte pieces")
-    return Vocabulary(tuple(map(model.id_to_piece, ids)), tuple(map(model.get_score, ids)), special, first_byte)
+    found = Vocabulary(tuple(map(model.id_to_piece, ids)), tuple(map(model.get_score, ids)), special, first_byte)
+    if odd := [p for i, p in enumerate(found.pieces) if i not in special and BLANK in p.strip(BLANK)]:
+        raise ValueError(f"pieces with blanks inside: {odd[:3]}")
+    codec = Codec(found)
+    for text in PROBES:
+        own = codec.encode(text)
+        if own.tolist() != model.encode(text) or codec.decode(own.tolist()) != model.decode(model.encode(text)):
+            raise ValueError(f"the library encodes {text!r} in another way: no BPE model, or one with a normaliser")
+    return found
 
 
 class Codec:
@@ -61,14 +81,13 @@ class Codec:
             if piece.strip(BLANK) or len(piece) == 1:  # longer runs of blanks share a score: see blanks()
                 self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
-        self.whole: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.texts = [p.replace(BLANK, " ") for p in self.pieces]
-        for i in special:
-            self.texts[i] = ""
-        if self.pieces[0] == "<unk>":
-            self.texts[0] = " ⁇ "
+        self.whole = Recent(lambda token: len(self.merged(self.pieces[token])) == 1, REMEMBERED)
+        self.pairs = Recent(self.compatible, 2 * REMEMBERED)
+        self.runs = Recent(self.blanks, 1000)
+        self.known = Recent(self.cut, REMEMBERED)
+        #: Words are cut between letters and other signs if no piece has both.
+        self.cuts = PARTS if all(len(PARTS.findall(piece)) == 1 for piece in self.ids) else WORDS
+        self.texts = plain_texts(vocabulary)
 
     def merged(self, text: str) -> list[str]:
         """Merge best score first, the leftmost among equals; for the short texts of the tests of pairs and for runs of blanks."""
@@ -81,15 +100,10 @@ class Codec:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def alone(self, token: int) -> bool:
-        if (known := self.whole.get(token)) is None:
-            known = self.whole[token] = len(self.merged(self.pieces[token])) == 1
-        return known
-
-    def compatible(self, left: int, right: int) -> bool:
-        if (known := self.pairs.get((left, right))) is None:
-            known = self.pairs[left, right] = self.merged(self.pieces[left] + self.pieces[right]) == [self.pieces[left], self.pieces[right]]
-        return known
+    def compatible(self, pair: int) -> bool:
+        """Whether the two tokens' joined text gives the same two tokens; ``pair`` has one in its upper bits, one in its lower 24."""
+        left, right = self.pieces[pair >> 24], self.pieces[pair & 0xFFFFFF]
+        return self.merged(left + right) == [left, right]
 
     def prefix_table(self, text: str) -> list[int]:
         """The last token of each prefix; -1 where there is none. Entry 0 stands for the empty prefix."""
@@ -98,16 +112,11 @@ class Codec:
         for end, (length, token) in self.automaton.iter(text):
             if last[end + 1] < 0:
                 start = end + 1 - length
-                if start == 0:
-                    fits = self.alone(token)
-                else:
+                if start:
                     before = last[start]
-                    if before < 0:
-                        continue
-                    fits = pairs.get((before, token))
-                    if fits is None:
-                        fits = self.compatible(before, token)
-                if fits:
+                    if before >= 0 and pairs[before << 24 | token]:
+                        last[end + 1] = token
+                elif self.whole[token]:
                     last[end + 1] = token
         return last
 
@@ -127,30 +136,26 @@ class Codec:
             at -= len(self.pieces[last[at]])
         return ids[::-1]
 
-    @lru_cache(maxsize=10_000)  # noqa: B019
     def blanks(self, n: int) -> tuple[int, ...]:
         """Ids of n blanks: their pieces share one score, so the leftmost pair merges first."""
-        lengths = [1] * n
-        at = 0
-        while at < len(lengths) - 1:
-            if BLANK * (lengths[at] + lengths[at + 1]) in self.ids:
-                lengths[at : at + 2] = [lengths[at] + lengths[at + 1]]
-                at = max(at - 1, 0)
-            else:
-                at += 1
+        lengths: list[int] = []
+        for _ in range(n):
+            lengths.append(1)
+            while len(lengths) > 1 and BLANK * (lengths[-1] + lengths[-2]) in self.ids:
+                lengths[-2:] = [lengths[-1] + lengths[-2]]
         return tuple(self.ids[BLANK * k] for k in lengths)
 
-    def cut(self, text: str) -> tuple[int, ...]:
+    def cut(self, text: str) -> bytes:
+        """Ids of a run of blanks and what stands behind it, as int32."""
         word = text.lstrip(BLANK)
         n = len(text) - len(word)
         if not word:
-            return self.blanks(n)
-        if not n:
-            return tuple(self.long(word))
-        ids = self.long(BLANK + word)  # every other merge goes before those of blanks alone
-        if n > 1 and ids[0] == self.ids[BLANK]:
-            return self.blanks(n) + tuple(ids[1:])
-        return self.blanks(n - 1) + tuple(ids) if n > 1 else tuple(ids)
+            ids = self.runs[n]
+        else:
+            ids = self.long(BLANK + word if n else word)  # every other merge goes before those of blanks alone
+            if n > 1:
+                ids = [*self.runs[n], *ids[1:]] if ids[0] == self.ids[BLANK] else [*self.runs[n - 1], *ids]
+        return array("i", ids).tobytes()
 
     def long(self, text: str) -> list[int]:
         """segment() without recursion: first cut at the characters that have no piece."""
@@ -164,38 +169,45 @@ class Codec:
                 start = k + 1
         return ids + (self.segment(text[start:]) if start < len(text) else [])
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         if not text:
-            return []
-        ids: list[int] = []
+            return np.zeros(0, np.int32)
+        text = BLANK + text.replace(" ", BLANK)
         known = self.known
-        for cut in CUTS.findall(BLANK + text.replace(" ", BLANK)):
-            found = known.get(cut)
-            if found is None:
-                found = self.cut(cut)
-                if len(cut) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[cut] = found
-            ids += found
-        return ids
+        if len(text) <= AT_ONCE:
+            return np.frombuffer(b"".join(map(known.__getitem__, self.cuts.findall(text))), np.int32)
+        ids = bytearray()
+        for m in self.cuts.finditer(text):
+            ids += known[m[0]]
+        return np.frombuffer(ids, np.int32)
 
     def decode(self, ids: list[int]) -> str:
-        low, high = self.first_byte, self.first_byte + 256
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids:
-            if low <= i < high:
-                raw.append(i - low)
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw.clear()
-            out.append(self.texts[i])
+        return text_of(ids, self.texts, self.first_byte)
+
+
+def plain_texts(vocabulary: Vocabulary) -> list[str]:
+    """What each id but those of bytes stands for."""
+    texts = ["" if i in vocabulary.special else p.replace(BLANK, " ") for i, p in enumerate(vocabulary.pieces)]
+    if vocabulary.pieces[0] == "<unk>":
+        texts[0] = " ⁇ "
+    return texts
+
+
+def text_of(ids: list[int], texts: list[str], first_byte: int) -> str:
+    out: list[str] = []
+    raw = bytearray()
+    for i in ids:
+        if first_byte <= i < first_byte + 256:
+            raw.append(i - first_byte)
+            continue
         if raw:
             out.append(raw.decode(errors="replace"))
-        text = "".join(out)
-        return text[1:] if text[:1] == " " else text
+            raw.clear()
+        out.append(texts[i])
+    if raw:
+        out.append(raw.decode(errors="replace"))
+    text = "".join(out)
+    return text[1:] if text[:1] == " " else text
 
 
 _codecs: dict[int, Codec] = {}
@@ -236,59 +248,65 @@ def _free(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns exist already: {sorted(clash)}")
 
 
-def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Replace column ``text`` by ``ids`` (array<int>), the tokens of the whole text.
+def _ids_of(texts: pa.Array, codec: Codec) -> pa.Array:
+    """The ids of each text of a batch, as an Arrow list."""
+    parts, ends = [], [0]
+    for value in texts:
+        own = codec.encode(value.as_py())
+        parts.append(own)
+        ends.append(ends[-1] + len(own))
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def _texts_of(ids: pa.Array, texts: list[str], first_byte: int) -> pa.Array:
+    """The text of each list of ids; a null list is empty."""
+    out = []
+    for value in ids:
+        own = np.zeros(0, np.int32) if not value.is_valid else value.values.to_numpy(zero_copy_only=False)
+        if own.size and ((own >= first_byte) & (own < first_byte + 256)).any():
+            out.append(text_of(own.tolist(), texts, first_byte))
+        else:
+            joined = "".join([texts[i] for i in own.tolist()])
+            out.append(joined[1:] if joined[:1] == " " else joined)
+    return pa.array(out, pa.string())
+
 
-    A null or empty text has no tokens. Other columns are kept; if one is called like ``ids``, a ValueError says so.
+def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Replace column ``text`` by ``ids`` (array<int>), the tokens of the whole text, and add ``decoded`` if named: their text.
+
+    A null or empty text has no tokens, and an empty text of them. Other columns are kept; if one is called like a new one, a
+    ValueError says so. One Python worker does both ways, so a task holds one copy of the tables.
     """
     kept = df.drop(text)
-    _free(kept, ids)
+    names = [ids] if decoded is None else [ids, decoded]
+    _free(kept, *names)
     shared = share(df.sparkSession, model)
     others = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            flat, ends = [], [0]
-            parts = []
-            total = 0
-            for value in batch.column(batch.num_columns - 1).to_pylist():
-                flat += codec.encode(value)
-                if len(flat) > 1_000_000:
-                    parts.append(np.array(flat, np.int32))
-                    total += len(flat)
-                    flat = []
-                ends.append(total + len(flat))
-            parts.append(np.array(flat, np.int32))
-            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*batch.schema.names[:-1], ids])
-
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`")).mapInArrow(run, schema)
+            new = [_ids_of(batch.column(batch.num_columns - 1), codec)]
+            if decoded is not None:
+                new.append(_texts_of(new[0], codec.texts, codec.first_byte))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *names])
+
+    types = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(n, T.StringType()) for n in names[1:]]
+    return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`")).mapInArrow(run, T.StructType([*kept.schema.fields, *types]))
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add ``text``, the text of the tokens in ``ids``; null ids give an empty text."""
+    """Add ``text``, the text of the tokens in ``ids``; null ids give an empty text. Only the pieces' texts are held, no automaton."""
     _free(df, text)
     shared = share(df.sparkSession, model)
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        vocabulary = shared.value
+        texts = plain_texts(vocabulary)
         for batch in batches:
-            column = batch.column(at)
-            flat = column.values.to_numpy(zero_copy_only=False)
-            plain = codec.texts
-            starts = column.offsets.to_pylist()
-            out = []
-            for k in range(len(column)):
-                own = flat[starts[k] : starts[k + 1]]
-                if own.size and ((own >= codec.first_byte) & (own < codec.first_byte + 256)).any():
-                    out.append(codec.decode(own.tolist()))
-                else:
-                    joined = "".join([plain[i] for i in own.tolist()])
-                    out.append(joined[1:] if joined[:1] == " " else joined)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, text])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _texts_of(batch.column(at), texts, vocabulary.first_byte)], names=[*batch.schema.names, text])
 
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
     return df.mapInArrow(run, schema)
@@ -296,7 +314,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -
 
 def digests(df: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, from the real ids and decoded texts."""
-    both = decode(encode(df.select("doc_id", "text"), model), model)
+    both = encode(df.select("doc_id", "text"), model, decoded="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
