@@ -3,12 +3,13 @@
 Rules on one text: too few words, or too many words in three-word windows that the text repeats.
 
 Across documents: lines are normalised (lower case, digits to 0, runs of blanks to one) and hashed; for each
-host (``source``) the distinct documents that hold a line are counted. Exact copies count as one document.
-Lines that stand in more than ``max_share`` of a host's documents (and in ``min_documents`` of them at
-least) are removed, and a document that loses more than ``max_removed`` of its words is rejected as depleted.
+host (``source``) the distinct documents that hold a line are counted, by their ids: exact copies are documents too. A
+line is above the limit if ``min_documents`` of a host's documents hold it and they are more than ``max_share`` of the host's, or
+more than ``max_documents``, whatever the host's size. Such lines are removed, and a document that loses more than
+``max_removed`` of its words is rejected as depleted.
 
-Every count is an aggregate that combines before its shuffle; a line that a third of all documents hold
-is a few partial counts. Joins back are on (host, line), which Spark may split where one key is hot.
+Every count is an aggregate that combines before its shuffle; a line that a third of all documents hold is spread over
+its documents first, then it is a few partial counts. The join back is on (host, line), with lines above the limit only.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent
 MAX_SHARE = 0.05
 MIN_DOCUMENTS = 20
+MAX_DOCUMENTS = 1000
 MAX_REMOVED = 0.5
 
 
@@ -61,11 +63,18 @@ def _text_rules(docs: DataFrame) -> DataFrame:
     return fifth.select("*", F.coalesce(F.aggregate(covered, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long").alias("n_repeat_words")).drop("_starts")
 
 
-def assess(docs: DataFrame, max_share: float = MAX_SHARE, min_documents: int = MIN_DOCUMENTS, max_removed: float = MAX_REMOVED, min_words: int = MIN_WORDS) -> DataFrame:
+def assess(
+    docs: DataFrame,
+    max_share: float = MAX_SHARE,
+    min_documents: int = MIN_DOCUMENTS,
+    max_documents: int = MAX_DOCUMENTS,
+    max_removed: float = MAX_REMOVED,
+    min_words: int = MIN_WORDS,
+) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words for each row.
 
-    A null text counts as empty, so it fails; null hosts are one host, and a null doc_id is an id of its own.
-    Rows that share id, text and host get one result each, the same for all.
+    A null text counts as empty, so it fails; null hosts are one host, and rows with a null doc_id are one document, as are
+    those that share any other id. Rows that share id, text and host get the same result. An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     row = [F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.xxhash64(text).alias("_same"), F.xxhash64("source").alias("_host")]
@@ -74,35 +83,37 @@ def assess(docs: DataFrame, max_share: float = MAX_SHARE, min_documents: int = M
     base = stash(_text_rules(own).drop("text"))
 
     normal = F.trim(F.lower(F.regexp_replace(F.regexp_replace("_line", "[0-9]", "0"), BLANKS, " ")))
-    lines = own.select(*key, F.explode(F.split(text, "\n", -1)).alias("_line")).filter(F.col("_line").rlike(WORD)).select(*key, F.xxhash64(normal).alias("_key"), F.regexp_count("_line", F.lit(WORD)).alias("_n"))
-    # Copies share _same and count once. A hot line is spread over its documents before it is counted.
-    holders = lines.select("_host", "_key", "_same").distinct().groupBy("_host", "_key").agg(F.count("*").alias("_holders"))
-    hosts = base.select("_host", "_same").distinct().groupBy("_host").agg(F.count("*").alias("_documents"))
-    frequent = holders.filter(F.col("_holders") >= min_documents).join(hosts, "_host").filter(F.col("_holders") > max_share * F.col("_documents")).select("_host", "_key")
-    removed = lines.join(frequent, ["_host", "_key"], "left_semi").groupBy(*key).agg(F.sum("_n").alias("_removed"))
-
-    rows = F.count("*").over(Window.partitionBy(*key))
-    result = base.withColumn("_rows", rows).join(removed, key, "left").withColumn("n_removed_words", (F.coalesce("_removed", F.lit(0)) / F.col("_rows")).cast("long"))
+    lines = own.select(*key, F.explode(F.split(text, "\n", -1)).alias("_line")).filter(F.col("_line").rlike(WORD))
+    lines = stash(lines.select(*key, F.xxhash64(normal).alias("_key"), F.regexp_count("_line", F.lit(WORD)).alias("_n")))
+    holders = lines.select("_host", "_key", "_id").distinct().groupBy("_host", "_key").agg(F.count("*").alias("_holders"))
+    hosts = base.select("_host", "_id").distinct().groupBy("_host").agg(F.count("*").alias("_documents"))
+    above = (F.col("_holders") > max_share * F.col("_documents")) | (F.col("_holders") > max_documents)
+    frequent = holders.filter(F.col("_holders") >= min_documents).join(hosts, "_host").filter(above).select("_host", "_key")
+    # Rows that share a key have the same lines: each has its part of the sum.
+    rows = base.groupBy(*key).agg(F.count("*").alias("_rows"))
+    removed = lines.join(frequent, ["_host", "_key"], "left_semi").groupBy(*key).agg(F.sum("_n").alias("_removed")).join(rows, key)
+
+    result = base.join(removed, key, "left").withColumn("n_removed_words", F.coalesce(F.expr("_removed div _rows"), F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     kept = ~F.col("base_failed") & (F.col("n_removed_words") <= max_removed * F.col("n_words"))
     return result.withColumn("base_failed", failed).withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
 ORACLE = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS id, source, coalesce(text, '') AS t,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS tri
             FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, tri) AS n FROM windows) WHERE n > 1),
 covered AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY r),
-raw AS (SELECT r, source, t, line FROM (SELECT r, source, t, unnest(string_split(t, chr(10))) AS line FROM d)
+raw AS (SELECT r, source, id, line FROM (SELECT r, source, id, unnest(string_split(t, chr(10))) AS line FROM d)
         WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM raw GROUP BY r),
-lines AS (SELECT r, source, t, trim(lower(regexp_replace(regexp_replace(line, '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS k,
+lines AS (SELECT r, source, id, trim(lower(regexp_replace(regexp_replace(line, '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS k,
                  len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM raw),
-hosts AS (SELECT source, count(DISTINCT t) AS documents FROM d GROUP BY source),
-frequent AS (SELECT l.source, k FROM (SELECT source, k, count(DISTINCT t) AS holders FROM lines GROUP BY source, k) l
-             JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE holders >= 20 AND holders > 0.05 * documents),
+hosts AS (SELECT source, count(DISTINCT id) AS documents FROM d GROUP BY source),
+frequent AS (SELECT l.source, k FROM (SELECT source, k, count(DISTINCT id) AS holders FROM lines GROUP BY source, k) l
+             JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE holders >= 20 AND (holders > 0.05 * documents OR holders > 1000)),
 removed AS (SELECT r, sum(n) AS n FROM lines l WHERE EXISTS (SELECT 1 FROM frequent f WHERE f.source IS NOT DISTINCT FROM l.source AND f.k = l.k) GROUP BY r),
 all_rules AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
