@@ -1,3 +1,4 @@
+import random
 import re
 
 from tidewheel.llm import licences
@@ -42,5 +43,59 @@ def test_notices_do_not_take_each_others_lookups(spark):
     assert got[0].score == 1.0
 
 
+def method(texts):
+    """labels and score of each text, from the method's own words."""
+    split = lambda t: [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
+    docs = [split(t) for t in texts]
+    templates = [(label, licences.plain_words(t), phrase) for label, t, phrase in licences.TEMPLATES]
+    idf = {x: licences.weight(len(docs), sum(x in d for d in docs)) for _, t, _ in templates for x in t}
+    out = []
+    for w in docs:
+        padded, best = f" {' '.join(w)} ", {}
+        for label, t, phrase in templates:
+            if f" {phrase} " not in padded:
+                continue
+            order = sorted(set(t), key=lambda x: (-idf[x], x))
+            looked = [x for x in order if x in w][: licences.LOOKED_UP]
+            top = 0
+            for start in {i - p for i, x in enumerate(w) if x in looked for p, y in enumerate(t) if x == y}:
+                voters = {x for x in looked for p, y in enumerate(t) if x == y and 0 <= start + p < len(w) and w[start + p] == x}
+                top = max(top, sum(idf[x] for x in voters))
+            share = min(1.0, top / sum(idf[x] for x in order[: licences.LOOKED_UP]))
+            if share >= licences.SHARE:
+                best[label] = max(best.get(label, 0), share)
+        base = {label for label, p in (("mit", " mit license "), ("apache", " apache license "), ("gpl", " general public license ")) if p in padded}
+        out.append((",".join(sorted({*best, *base})), 1.0 if base else max(best.values(), default=0.0)))
+    return out
+
+
+def test_random_tables_like_the_method(spark):
+    rng = random.Random(4)
+    notices = [t for _, t, _ in licences.TEMPLATES]
+    pool = sorted({x for t in notices for x in licences.plain_words(t)})
+    for n in (1, 2, 10, 300):
+        texts = []
+        for _ in range(n):
+            parts = []
+            for _ in range(rng.randrange(4)):
+                w = licences.plain_words(rng.choice(notices))
+                for _ in range(rng.randrange(4)):
+                    w[rng.randrange(len(w))] = rng.choice(pool)
+                parts += [" ".join(w[rng.randrange(3) :]), " ".join(rng.choice(pool) for _ in range(rng.randrange(12)))]
+            texts.append(". ".join(parts) if rng.random() < 0.9 else None)
+        rows = [(i, t, 1, "x") for i, t in enumerate(texts)]
+        got = {r.doc_id: (r.labels, r.score) for r in licences.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert [got[i] for i in range(n)] == method(texts)
+
+
+def test_labels_do_not_depend_on_other_rows_or_copies(spark):
+    labels = sorted({x for x, _, _ in licences.TEMPLATES})
+    everything = "\n".join(t for _, t, _ in licences.TEMPLATES)
+    for rows in ([(1, "mozilla public license")], [(1, "mozilla public license")] * 2, [(k, "Mozilla Public License." if k < 2 else "plain") for k in range(10)], [(1, everything)], [(k, everything) for k in range(20)]):
+        got = licences.scan(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)).collect()
+        want = {"mozilla public license": "mpl", "Mozilla Public License.": "mpl", "plain": "", everything: ",".join(labels)}
+        assert all(r.labels == want[dict(rows)[r.doc_id]] for r in got), [r.labels for r in got]
+
+
 def test_empty(spark):
     assert licences.scan(spark.createDataFrame([], SCHEMA)).collect() == []

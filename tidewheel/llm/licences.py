@@ -1,50 +1,131 @@
 """Licence scans over a positional index of rare tokens, with DataFrame functions only.
 
-The index holds, for each word of a few fixed licence templates, the templates and positions where it
-stands. A corpus pass counts in how many documents each licence word occurs; words in more than
-``COMMON`` of all documents are no evidence and leave the index. For each document and each template whose key
-phrase stands in it, the ``LOOKED_UP`` of the template's words in the document with the highest IDF are looked up, so
-that notices do not take each other's lookups. A posting at position p of a template, met at word i
-of the document, votes for the template starting at word i - p. Votes for one start add up by IDF; where
-they reach ``SHARE`` of what the template's own rarest words weigh, the template is a candidate, and
-it is accepted if its mandatory key phrase stands in the text.
-
-What is broadcast is the index: as many rows as the templates have words, whatever the corpus.
+The index holds, for each word of the licence templates (whole notices and short statements), the templates and positions
+where it stands. A corpus pass counts in how many documents each licence word occurs. For each document and each template
+whose mandatory key phrase stands in it, the ``LOOKED_UP`` of the template's words in the document with the highest IDF are looked
+up, so notices do not take each other's lookups; IDF ranks words and weighs them, it removes none. A posting at position p of a
+template, met at word i of the document, votes for the template starting at word i - p. A start is weighed by the IDF of the
+distinct words that vote for it; where that reaches ``SHARE`` of what the template's own ``LOOKED_UP`` rarest words weigh, in the
+corpus or not, the template is accepted.
+
+What is broadcast is the index: as many rows as the templates have words, whatever the corpus. IDF is counted in whole
+millionths, so sums do not depend on their order.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stash
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-COMMON = 0.05
-LOOKED_UP = 10
+LOOKED_UP = 16
 SHARE = 0.6
 
-#: Label, words of the template, key phrase that must stand in the text.
+#: Label, notice or statement, key phrase that must stand in the text.
 TEMPLATES = (
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("apache", "licensed under the apache license version 2 0", "apache license"),
-    ("gpl", "licensed under the gnu general public license version", "general public license"),
-    ("gpl", "free software you can redistribute it and or modify it under the terms of the gnu general public license", "general public license"),
-    ("lgpl", "gnu lesser general public license", "lesser general public license"),
-    ("agpl", "gnu affero general public license", "affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
-    ("cc-by", "licensed under cc by nc 4 0", "cc by"),
-    ("cc-by", "licensed under a creative commons attribution license", "creative commons attribution"),
-    ("unlicense", "free and unencumbered software released into the public domain", "unencumbered software"),
+    ("mit", "Released under the MIT License", "mit license"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "permission is hereby granted free of charge",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
+        "notice appear in all copies.",
+        "with or without fee is hereby granted",
+    ),
+    ("apache", "Licensed under the Apache License, Version 2.0", "apache license"),
+    (
+        "apache",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT "
+        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "apache license",
+    ),
+    ("gpl", "Licensed under the GNU General Public License version", "general public license"),
+    ("gpl", "free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gnu general public license"),
+    (
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "gnu general public license",
+    ),
+    ("lgpl", "GNU Lesser General Public License", "lesser general public license"),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either "
+        "version 2.1 of the License, or (at your option) any later version.",
+        "lesser general public license",
+    ),
+    ("agpl", "GNU Affero General Public License", "affero general public license"),
+    (
+        "agpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version.",
+        "affero general public license",
+    ),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution and use in source and binary forms"),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain "
+        "the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "redistribution and use in source and binary forms",
+    ),
+    ("mpl", "subject to the terms of the Mozilla Public License", "mozilla public license"),
+    (
+        "mpl",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+        "mozilla public license",
+    ),
+    ("mpl", "Mozilla Public License", "mozilla public license"),
+    ("cc-by", "Licensed under CC BY-NC 4.0", "cc by"),
+    ("cc-by", "licensed under a Creative Commons Attribution license", "creative commons attribution"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "creative commons attribution"),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered software"),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+        "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "unencumbered software",
+    ),
+    (
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "in no event will the authors be held liable",
+    ),
+    (
+        "boost",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, "
+        "reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+        "to any person or organization obtaining a copy",
+    ),
 )
 #: Fixed values of the contract: last word, the words before it, label.
 BASE = (("license", ("mit",), "mit"), ("license", ("apache",), "apache"), ("license", ("public", "general"), "gpl"))
 
 
+def plain_words(text: str) -> list[str]:
+    """The words of a template; all are ASCII."""
+    return [x for x in re.split(SPLIT, text.lower()) if x]
+
+
+def weight(documents: int, holders: int) -> int:
+    """The IDF of a word in millionths: above 0 even if all documents hold it, largest if none does."""
+    return round(1e6 * math.log((documents + 1) / (holders + 0.5)))
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), SPLIT), "")
 
@@ -62,62 +143,54 @@ def _places(w: Column) -> Column:
     return F.filter(F.transform(w, place), lambda x: x.isNotNull())
 
 
-def _phrase(w: Column, phrase: str) -> Column:
-    """Whether the words of ``phrase`` stand in the array of words ``w`` one after another."""
-    return F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).contains(f" {phrase} ")
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row.
 
-    Null texts count as empty: no words, no labels, score 0. Rows that share id and text get the same result.
-    The score is 1 where a base phrase stands, else the largest share of votes of an accepted template.
+    Null texts count as empty: no words, no labels, score 0. Rows that share id and text get the same result, and copies of a row
+    do not add up. The score is 1 where a base phrase stands, else the largest share of votes of an accepted template.
     """
     spark = docs.sparkSession
-    vocabulary = sorted({x for _, t, _ in TEMPLATES for x in t.split()})
+    templates = [plain_words(text) for _, text, _ in TEMPLATES]
+    vocabulary = sorted({x for t in templates for x in t})
+    licence_words = F.array(*map(F.lit, vocabulary))
     row = [F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_same")]
     own = docs.select("doc_id", *row, words(F.coalesce("text", F.lit(""))).alias("_w"))
     found = F.when(F.array_contains("_w", "license"), _places(F.col("_w")))
-    hits = F.array_intersect("_w", F.array(*map(F.lit, vocabulary)))
-    base = stash(own.select("doc_id", "_id", "_same", F.size("_w").cast("long").alias("n_words"), found.alias("_found"), hits.alias("_hits")))
+    base = stash(own.select("doc_id", "_id", "_same", F.size("_w").cast("long").alias("n_words"), found.alias("_found"), F.array_intersect("_w", licence_words).alias("_hits")))
 
-    counts = dict(base.select(F.explode("_hits").alias("w")).groupBy("w").count().collect())  # a row for each template word at most
+    counts = dict(base.select(F.explode("_hits").alias("w")).groupBy("w").count().collect())  # a row for each licence word at most
     total = base.count()
-    rare = {x: n for x, n in counts.items() if n <= max(1, COMMON * total)}
-    if not rare:
-        rare = {"": 1}
-    idf = F.create_map(*[F.lit(v) for x, n in sorted(rare.items()) for v in (x, -1.0 * n)])
-    postings = [(x, t, p) for t, (_, text, _) in enumerate(TEMPLATES) for p, x in enumerate(text.split()) if x in rare]
-    n_documents = float(max(total, 1))
-    index = spark.createDataFrame(postings or [("", 0, 0)], "_word string, _template int, _position int").withColumn("_idf", F.log(F.lit(n_documents + 1) / -idf[F.col("_word")]))
-    best = Window.partitionBy("_template").orderBy(F.desc("_idf"), "_position")
-    weights = index.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= LOOKED_UP).groupBy("_template").agg(F.sum("_idf").alias("_most"))
+    idf = {x: weight(total, counts.get(x, 0)) for x in vocabulary}
+    ranked = [sorted(set(t), key=lambda x: (-idf[x], x)) for t in templates]
+    most = [sum(idf[x] for x in r[:LOOKED_UP]) for r in ranked]
+    index = spark.createDataFrame([(x, t, p, idf[x]) for t, text in enumerate(templates) for p, x in enumerate(text)], "_word string, _template int, _position int, _idf long")
 
     # For each template the words to look up, or null without its key phrase; array_intersect keeps the order of IDF.
-    none = F.array().cast("array<string>")
-    ranked = [sorted({x for x in text.split() if x in rare}, key=lambda x: (rare[x], x)) for _, text, _ in TEMPLATES]
-    best_words = [F.slice(F.array_intersect(F.array(*map(F.lit, r)), F.col("_rare")), 1, LOOKED_UP) if r else none for r in ranked]
-    lists = F.array(*[F.when(_phrase(F.col("_w"), phrase), best_words[t]) for t, (_, _, phrase) in enumerate(TEMPLATES)])
-    held = own.filter(F.arrays_overlap("_w", F.array(*map(F.lit, sorted(rare))))).withColumn("_rare", F.array_intersect("_w", F.array(*map(F.lit, sorted(rare)))))
-    held = held.select("_id", "_same", "_w", lists.alias("_lists")).filter(F.exists("_lists", lambda x: F.size(x) > 0))
-    looked = held.select("_id", "_same", "_lists", F.posexplode("_w").alias("_i", "_word"))
+    phrases = sorted({phrase for _, _, phrase in TEMPLATES})
+    held = own.select("_id", "_same", "_w", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_text")).filter(F.col("_text").rlike(f" (?:{'|'.join(phrases)}) "))
+    held = held.withColumn("_own", F.array_intersect("_w", licence_words))
+    best = [F.when(F.col("_text").contains(f" {phrase} "), F.slice(F.array_intersect(F.array(*map(F.lit, r)), F.col("_own")), 1, LOOKED_UP)) for r, (_, _, phrase) in zip(ranked, TEMPLATES, strict=True)]
+    lists = F.filter(F.transform(F.array(*best), lambda x, t: F.struct(t.alias("t"), x.alias("x"))), lambda x: x["x"].isNotNull())
+    asked = held.select("_id", "_same", "_w", F.inline(lists).alias("_template", "_list"))
+    places = F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda p: F.array_contains("_list", p["w"]))
     votes = (
-        looked.join(F.broadcast(index), "_word")
-        .filter(F.array_contains(F.element_at("_lists", F.col("_template") + 1), F.col("_word")))
-        .groupBy("_id", "_same", "_template", (F.col("_i") - F.col("_position")).alias("_start"))
-        .agg(F.sum("_idf").alias("_votes"), F.count("*").alias("_hits"))
-        .join(F.broadcast(weights), "_template")
-        .withColumn("_share", F.least(F.lit(1.0), F.col("_votes") / F.col("_most")))
+        asked.select("_id", "_same", "_template", F.inline(places).alias("_i", "_word"))
+        .join(F.broadcast(index), ["_word", "_template"])
+        # Each word votes once for a start, however often it or a copy of the row says so.
+        .groupBy("_id", "_same", "_template", (F.col("_i") - F.col("_position")).alias("_start"), "_word")
+        .agg(F.first("_idf").alias("_idf"))
+        .groupBy("_id", "_same", "_template", "_start")
+        .agg(F.sum("_idf").alias("_votes"))
+        .withColumn("_share", F.least(F.lit(1.0), F.col("_votes") / F.element_at(F.array(*map(F.lit, most)), F.col("_template") + 1)))
         .filter(F.col("_share") >= SHARE)
     )
     label = F.element_at(F.array(*[F.lit(x) for x, _, _ in TEMPLATES]), F.col("_template") + 1)
-    # A row joins once for each of its copies: the aggregate makes them one again, sums of votes are per copy.
     accepted = votes.groupBy("_id", "_same").agg(F.collect_set(label).alias("_labels"), F.max("_share").alias("_score"))
 
+    none = F.array().cast("array<string>")
     own_labels = F.array_distinct(F.transform("_found", lambda x: x["label"]))
-    text = lambda a: F.array_join(F.sort_array(F.coalesce(a, F.array().cast("array<string>"))), ",")
-    n_base = F.coalesce(F.size("_found"), F.lit(0))
-    n_base = F.when(F.col("_found").isNull(), 0).otherwise(n_base).cast("long")
+    text = lambda a: F.array_join(F.sort_array(F.coalesce(a, none)), ",")
+    n_base = F.when(F.col("_found").isNull(), 0).otherwise(F.size("_found")).cast("long")
     starts = F.transform("_found", lambda x: x["start"])
     return base.join(accepted, ["_id", "_same"], "left").select(
         "doc_id",
