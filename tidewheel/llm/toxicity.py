@@ -2,13 +2,15 @@
 
 1. A character language model: trigram counts over all texts of the corpus, gathered by Spark. The letters
    share 64 classes, so the table has a fixed size; what is counted grows with the corpus.
-2. Deobfuscation: tokens that mix letters with look-alike signs, spaced-out letters and letters repeated
+2. Deobfuscation: runs of letters and look-alike signs that hold both, spaced-out letters, and letters repeated
    three times or more become a lattice of readings: a sign may be itself or a letter that it looks like, a repeated
-   letter may be dropped, and so may a separator inside a spaced-out word or punctuation before or behind a word. Viterbi finds the reading with
-   the best sum of channel costs and language model.
+   letter may be dropped, a gap inside a spaced-out word may be dropped or be a word break, and punctuation before or behind a word may
+   be left out. Viterbi finds the reading with the best sum of channel costs and language model. Full-width and other
+   compatible forms are written plainly first. Of a longer run of one character three are read. All of it is linear in the text.
 3. Scoring: logistic regression on the restored text's words and word beginnings. It is fitted on at most
    ``SAMPLE`` labelled rows, those with the smallest digests of their ids; features are the ``FEATURES``
-   most telling ones of the sample. Both bounds are parameters. Weights are what is broadcast.
+   most telling ones of the sample, seen in three of its documents at least and ``FAR`` standard deviations from its toxic
+   share. All these bounds are parameters or constants here, whatever the corpus. Weights are what is broadcast.
 
 Scores depend on the text alone.
 """
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import Recent, stash
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -39,14 +41,19 @@ LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 KEEP, READ, DROP = 6.0, 0.7, 0.3  # channel costs: a sign kept as it is, read as a letter, a character dropped
 #: Signs that may be mere punctuation before or behind a word, and the cost of leaving them out there.
 BEFORE, BEHIND, EDGE = "(*#|", "!(*#|", 3.0
+#: Costs of a gap of a spaced-out word: a word break at a gap as short as any, and at a longer one; no break at a longer one.
+BREAK, WIDE_BREAK, WIDE_DROP = 1.0, 0.0, 1.5
+#: Tokens that a worker remembers.
+REMEMBERED = 50_000
 _SIGNS = re.escape("".join(LOOKS_LIKE))
 _LETTER = r"[^\W\d_]"
-# Letters and signs in any order, with at least one of each: signs at the ends count too, the lattice decides on them.
-_MIXED = rf"(?:{_LETTER}+[{_SIGNS}]|[{_SIGNS}]+{_LETTER})(?:{_LETTER}|[{_SIGNS}])*"
-_SPACED = rf"(?<!\w){_LETTER}(?:[ .\-_*]{_LETTER}){{2,}}(?!\w)"
-_REPEATED = rf"{_LETTER}*?({_LETTER})\1\1{_LETTER}*"
-SPACED = re.compile(_SPACED)
-SUSPECT = re.compile(f"{_SPACED}|{_MIXED}|{_REPEATED}")
+_ONE = rf"(?:{_LETTER}|[{_SIGNS}])"
+# No sign is a separator and runs are possessive, so no text makes these try a place more than once.
+SPACED = re.compile(rf"(?<!\w){_ONE}(?:[ .\-_]{{1,3}}{_ONE}){{2,}}(?!\w)")
+RUN = re.compile(f"{_ONE}++")
+_TRIPLE = re.compile(rf"({_LETTER})\1\1")
+_LONG = re.compile(r"(.)\1{3,}", re.DOTALL)
+_GAP = re.compile(r"[ .\-_]+")
 WORDS = re.compile(rf"{_LETTER}+")
 #: Stripped from plain tokens: only characters that LOOKS_LIKE does not read.
 _ENDS = ".,;:?'\")\n"
@@ -103,15 +110,28 @@ def language_model(counts: dict[int, int]) -> np.ndarray:
     return -np.log(p3)
 
 
+def _spelled(token: str) -> bool:
+    """Whether letters alternate with one and the same sign, as in f*u*c*k."""
+    return len(token) >= 5 and len(token) % 2 == 1 and len(set(token[1::2])) == 1 and token[1] in LOOKS_LIKE and token[::2].isalpha()
+
+
 def readings(token: str) -> list[list[tuple[str, float]]]:
-    """The lattice: for each character what it may be read as ('' is dropped), with costs."""
-    spaced = bool(re.fullmatch(_SPACED, token))
+    """The lattice: for each character or gap what it may be read as ('' is dropped), with costs."""
+    token = _LONG.sub(r"\1\1\1", token)
+    spaced, spelled = bool(SPACED.fullmatch(token)), _spelled(token)
+    gaps = [m.span() for m in _GAP.finditer(token)] if spaced else []
+    least = min((e - s for s, e in gaps), default=0)
     out = []
     first, last = len(token) - len(token.lstrip(BEFORE)), len(token.rstrip(BEHIND))
-    for k, c in enumerate(token):
-        if spaced and k % 2:
-            out.append([("", DROP)])
-        elif c.isalpha():
+    wide = dict(gaps)
+    k = 0
+    while k < len(token):
+        c = token[k]
+        if k in wide:
+            out.append([("", DROP), (" ", BREAK)] if wide[k] - k == least else [(" ", WIDE_BREAK), ("", WIDE_DROP)])
+            k = wide[k]
+            continue
+        if c.isalpha():
             own = [(c, 0.0)]
             run = k > 0 and token[k - 1] == c
             if run:
@@ -122,11 +142,12 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
             out.append(own)
         else:
             own = [(x, READ) for x in LOOKS_LIKE.get(c, "")] + [(c, KEEP)]
-            if k > 0 and token[k - 1] == c:
+            if (k > 0 and token[k - 1] == c) or (spelled and k % 2):
                 own.append(("", DROP))
             elif k < first or k >= last:
                 own.append(("", DROP if c == token[k + 1 : k + 2] else EDGE))
             out.append(own)
+        k += 1
     return out
 
 
@@ -153,21 +174,27 @@ def decode(token: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
-_known: dict[str, str] = {}
-_known_model: list[np.ndarray] = []
+def suspect(run: str) -> bool:
+    """Whether a run of letters and signs may be obfuscated: it has both, or a letter three times in a row."""
+    if run.isalpha():
+        return bool(_TRIPLE.search(run))
+    return any(map(str.isalpha, run))
+
+
+def _spread(spaced: str) -> bool:
+    """Whether spaced-out characters are letters rather than numbers and signs."""
+    letters = sum(map(str.isalpha, spaced))
+    return letters >= 2 and 2 * letters >= len(_GAP.sub("", spaced))
+
+
+_known: list[tuple[np.ndarray, Recent]] = []
 
 
-def _decoded(token: str, model: np.ndarray) -> str:
-    """decode(), with what a worker has read already under the same model."""
-    if not _known_model or _known_model[0] is not model or len(_known) > 200_000:
-        _known.clear()
-        _known_model[:] = [model]
-    found = _known.get(token)
-    if found is None:
-        found = decode(token, model)
-        if len(token) <= 40:
-            _known[token] = found
-    return found
+def _decoded(model: np.ndarray) -> Recent:
+    """decode() under ``model``, with what a worker has read lately."""
+    if not _known or _known[0][0] is not model:
+        _known[:] = [(model, Recent(lambda token: decode(token, model), REMEMBERED))]
+    return _known[0][1]
 
 
 def restore(text: str, model: np.ndarray) -> str:
@@ -175,14 +202,15 @@ def restore(text: str, model: np.ndarray) -> str:
 
     Cheap tests come first, as nearly all tokens are plain: words of letters alone are left out at once.
     """
-    text = unicodedata.normalize("NFC", text.lower())
-    read = lambda m: _decoded(m[0], model)
-    parts = SPACED.sub(read, text).split(" ")
-    tripled = [3 * c for c in set(text) if c.isalpha() and 3 * c in text]
+    text = unicodedata.normalize("NFKC", text.lower())
+    known = _decoded(model)
+    spaced = SPACED.sub(lambda m: known[m[0]] if _spread(m[0]) else m[0], text)
+    parts = spaced.split(" ")
+    tripled = [3 * c for c in set(spaced) if c.isalpha() and 3 * c in spaced]
     for k, part in enumerate(parts):
         if (part.isalpha() or part.strip(_ENDS).isalpha()) and not (tripled and any(t in part for t in tripled)):
             continue
-        parts[k] = SUSPECT.sub(read, part)
+        parts[k] = RUN.sub(lambda m: known[m[0]] if suspect(m[0]) else m[0], part)
     return " ".join(parts)
 
 
@@ -225,7 +253,7 @@ def held_out(doc_id: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES) -> tuple[np.ndarray, dict[str, float], float]:
-    """Language model, weight of each feature, and intercept. Rows without a label teach nothing; of several labels of a document the highest counts."""
+    """Language model, weight of each feature, and intercept. Rows without a label teach nothing; of several labels of a document the highest counts, and of several texts the smallest."""
     spark = docs.sparkSession
     model = language_model(dict(count_trigrams(docs).collect()))  # CLASSES ** 3 rows at most
     table = spark.sparkContext.broadcast(model)
@@ -243,7 +271,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
 
         return pd.Series([sorted(features(restore(t or "", table.value))) for t in texts])
 
-    rows = stash(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), seen("text").alias("seen")))
+    # One text for each chosen id, the smallest where an id repeats: what goes to the driver is bounded by ``sample``.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min("text").alias("text"))
+    rows = stash(texts.select("doc_id", "toxic", seen("text").alias("seen")))
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counts = rows.select("toxic", F.explode("seen").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).filter("n >= 3")
     # How far the toxic share of a feature's documents is from that of the sample, in standard deviations.
@@ -252,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
     top = [r.feature for r in counts.filter(far >= FAR).orderBy(F.desc(far), "feature").limit(n_features).collect()]
     number = {f: k for k, f in enumerate(top)}
     known = F.array_intersect("seen", F.array(*map(F.lit, top)).cast("array<string>")) if top else F.array().cast("array<string>")
-    kept = rows.select("doc_id", "toxic", known.alias("seen")).orderBy("doc_id", "toxic").collect()  # ``sample`` documents at most, unless ids repeat
+    kept = rows.select("doc_id", "toxic", known.alias("seen")).orderBy("doc_id", "toxic").collect()  # ``sample`` documents at most
     w, b = fit([([number[f] for f in r.seen], r.toxic) for r in kept], len(top))
     return model, {f: float(w[k]) for f, k in number.items() if abs(w[k]) > 1e-9}, float(b)
 
