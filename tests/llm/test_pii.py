@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter, defaultdict
 
 from tidewheel.llm import pii
 
@@ -50,6 +51,84 @@ def test_bootstrap_finds_what_the_patterns_miss(spark):
     assert by[200].spans == "" and by[201].spans == ""
 
 
+def graph(edges, rounds=pii.ROUNDS, min_support=pii.MIN_SUPPORT, min_confidence=pii.MIN_CONFIDENCE, min_score=pii.MIN_SCORE):
+    """(instance, kind) by the rounds as the method states them; ``edges``: {(pattern, instance): kind}."""
+    seeds = {(i, k): 1.0 for (_, i), k in edges.items() if k >= 0}
+    known, taken = dict(seeds), {}
+    size = Counter(p for p, _ in edges)
+    for _ in range(rounds):
+        sums, support = defaultdict(float), Counter()
+        for p, i in edges:
+            for (other, kind), score in known.items():
+                if other == i:
+                    sums[p, kind] += score
+                    support[p, kind] += 1
+        confidence = {pk: round(s / (size[pk[0]] + 1), 9) for pk, s in sums.items() if support[pk] >= min_support}
+        rest = defaultdict(lambda: 1.0)
+        for (p, i), k in edges.items():
+            for (q, kind), c in confidence.items():
+                if k < 0 and q == p and c >= min_confidence:
+                    rest[i, kind] *= 1 - c
+        best = {}
+        for (i, kind), r in rest.items():
+            score = round(1 - r, 9)
+            if score >= min_score and (i not in best or (score, -kind) > (best[i][1], -best[i][0])):
+                best[i] = (kind, score)
+        taken = {i: kind for i, (kind, _) in best.items()}
+        known = {**seeds, **{(i, kind): score for i, (kind, score) in best.items()}}
+    return sorted(taken.items())
+
+
+def test_graph_like_brute_force(spark):
+    rng, some = random.Random(11), 0
+    for _ in range(3):
+        pairs = {}
+        kinds = {i: rng.choice([0, 0, 1, 3]) if i < 60 else -1 for i in range(90)}
+        for p in range(14):
+            for i in rng.sample(range(90), rng.randrange(6, 26)):
+                if p < 9 or i < 60 or rng.random() < 0.15:
+                    pairs[f"p{p}", f"i{i}"] = kinds[i] if p > 6 or kinds[i] < 0 else p % 2
+        kind_of = {}
+        for (p, i), k in pairs.items():
+            kind_of.setdefault(i, k)
+        pairs = {(p, i): kind_of[i] for p, i in pairs}
+        seen = [(0, kind, i, [p]) for (p, i), kind in pairs.items() for _ in range(rng.randrange(1, 3))]
+        rows = [(1, 1, 1, [], [(s, s, k, i, p) for s, k, i, p in seen[a : a + 40]]) for a in range(0, len(seen), 40)] + [(None, 2, None, None, None), (2, 2, 2, [], [])]
+        got = pii.bootstrap(spark.createDataFrame(rows, pii.FOUND), min_support=2, min_confidence=0.3, min_score=0.5).collect()
+        want = graph(pairs, min_support=2, min_confidence=0.3, min_score=0.5)
+        assert sorted(map(tuple, got)) == want
+        some += len(want)
+    assert some
+    assert pii.bootstrap(spark.createDataFrame([], pii.FOUND)).collect() == []
+
+
+def test_recall_of_planted_identifiers(spark):
+    """Identifiers that no base pattern has, in contexts that known ones share with them, and in contexts of their own."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        known = i % 4
+        number = f"+49 30 {rng.randrange(10**6, 10**7)}" if known else f"030-{rng.randrange(1000, 9999)}-{rng.randrange(10, 99)}"
+        before = rng.choice(["please call me at", "you may phone us at", "my number is now"])
+        rows.append((i, f"Text {'abc'[i % 3]} and more, {before} {number} {rng.choice(['today', 'before noon', 'or write'])}. The end", 1, 1))
+    rows += [(1000 + i, f"the order of {rng.randrange(1000, 9999)}-{rng.randrange(10, 99)} pieces went to room {rng.randrange(10000, 99999)}", 1, 1) for i in range(100)]
+    got = {r.doc_id: r.spans for r in pii.digests(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(bool(got[i]) for i in range(0, 400, 4)) / 100 >= 0.9
+    assert not any(got[1000 + i] for i in range(100))
+
+
+def test_candidates_beside_base_spans_and_long_context():
+    text = "write 555-123-4567 a@b.org or 1.2.3.4 99-88-77"
+    spans = pii.base_spans(text)
+    assert [text[s:e] for s, e in pii.candidates(text, spans)] == ["555-123-4567", "99-88-77"]
+    text = " ".join(["12345"] * 40)
+    assert [text[s:e].count(" ") for s, e in pii.candidates(text, [])] == [7] * 5
+    long = "x" * 100_000
+    text = f"{long}1 {long} 55-12345 {long}"
+    assert all(len(w) <= pii.LONGEST for w in pii._words_around(text, text.index("55-"), text.index("55-") + 8))
+    assert pii._words_around("a" + " " * 5000 + "b 12345", 5003, 5008)[:2] == ("a", "b")
+
+
 def test_empty_and_redact(spark):
     assert pii.digests(spark.createDataFrame([], SCHEMA)).collect() == []
     text = "mail a@b.cd or +1 555 010 1000!"

@@ -101,22 +101,22 @@ def _encoded(column: pa.Array) -> list[bytes]:
     return [(t or "").encode() for t in column.to_pylist()]
 
 
-CLASSES = "doc_id long, _key long, n long, below int"
+CLASSES = "doc_id long, same long, _key long, n long, below int"
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """Each row's class (``_key``), set size and number of hashes below the cut."""
+    """Each row's text digest (``same``), class (``_key``), set size and number of hashes below the cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sizes, below = [], [], []
-            for own in document_sets(_encoded(batch.column(1))):
+            for own in document_sets(_encoded(batch.column(2))):
                 keys.append(set_key(own))
                 sizes.append(len(own))
                 below.append(int(np.searchsorted(own, _LIMIT)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(below, pa.int32())], names=["doc_id", "_key", "n", "below"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(below, pa.int32())], names=["doc_id", "same", "_key", "n", "below"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, CLASSES)
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"), "text").mapInArrow(run, CLASSES)
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -352,7 +352,14 @@ def verify(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id of every row of ``docs``; see ``grouped``."""
+    return grouped(docs).drop("same", "root")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, same (a digest of the text), n_shingles, component_id, root of every row of ``docs`` (doc_id, text).
+
+    ``root`` tells components apart even where ids repeat: rows are in one component if they have one root.
 
     A text without words has no shingles and is linked with nothing; its component is its own doc_id. Rows
     with the same set are linked. A null doc_id counts as smaller than any other id.
@@ -429,9 +436,9 @@ def join(docs: DataFrame) -> DataFrame:
     # Components by class; the result is the smallest doc_id of all classes of a component.
     rooted = info.select("_key", "rep").join(final.withColumnRenamed("node", "_key"), "_key", "left").select("_key", "rep", F.coalesce("root", "_key").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = rooted.join(smallest, "root").select("_key", "component_id")
+    of = rooted.join(smallest, "root").select("_key", "component_id", "root")
     component = F.coalesce("component_id", "doc_id")
-    return own.join(of, "_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(component != -(2**63), component).alias("component_id"))
+    return own.join(of, "_key", "left").select("doc_id", "same", F.col("n").alias("n_shingles"), F.when(component != -(2**63), component).alias("component_id"), "root")
 
 
 def _group(x: Column, y: Column, z: Column) -> Column:

@@ -8,11 +8,16 @@ The base entities are seeds. Spark then scores the graph of patterns and instanc
 pattern's confidence for a kind is the mean score of its distinct instances, damped by one; it must hold
 ``min_support`` known instances of the kind. A candidate's score is one minus the product of (1 - confidence) over its
 accepted patterns, so candidates that reach ``min_score`` count as known in the next round and induce new
-patterns. All their occurrences become spans of that kind. Base spans always stay.
+patterns. All their occurrences become spans of that kind. Base spans always stay. Scores are rounded before they are compared, so
+the order of sums decides nothing.
+
+A context word or an instance of more than ``LONGEST`` characters is named by its beginning and a digest, so keys have a bounded size. A run
+of candidate tokens is cut at base spans and after each ``TOKENS`` tokens.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -28,6 +33,7 @@ ROUNDS = 3
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.7
 MIN_SCORE = 0.8
+LONGEST, TOKENS = 64, 8
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -78,41 +84,64 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _named(text: str) -> str:
+    """The text itself, or for a long one its beginning and a digest."""
+    return text if len(text) <= LONGEST else f"{text[:16]}~{hashlib.md5(text.encode('utf-8', 'surrogatepass')).hexdigest()}"
+
+
+def _words_before(text: str, start: int) -> list[str]:
+    """The two words before a place, or as many as there are; the stretch that is read grows until both are whole."""
+    size = 80
+    while True:
+        left = text[max(0, start - size) : start]
+        words = _WORD.findall(left)
+        if size >= start or len(words) > 2 or (len(words) == 2 and left[0].isspace()):
+            return words[-2:]
+        size *= 4
+
+
 def _words_around(text: str, start: int, end: int) -> tuple[str, str, str]:
-    left = [re.sub("[0-9]", "0", w.lower()) for w in _WORD.findall(text[max(0, start - 80) : start])[-2:]]
-    right = _WORD.search(text[end : end + 60])
-    before2, before1 = (["", "", *left])[-2:]
-    return before2, before1, re.sub("[0-9]", "0", right[0].lower().rstrip(".,;:!?")) if right else ""
+    plain = lambda w: _named(re.sub("[0-9]", "0", w.lower()))
+    before2, before1 = (["", "", *map(plain, _words_before(text, start))])[-2:]
+    right = _WORD.search(text, end)
+    return before2, before1, plain(right[0].rstrip(".,;:!?")) if right else ""
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of neighbouring tokens with a digit or an at sign, stripped of punctuation, clear of all ``spans``."""
-    out: list[list[int]] = []
+    """Runs of neighbouring tokens with a digit or an at sign, less all ``spans`` and the punctuation around what is left."""
+    runs: list[list[int]] = []
+    tokens = 0
     m = _MARK.search(text)
     while m:
         at = m.start()
         stop = _BLANK.search(text, at)
         end = stop.start() if stop else len(text)
         # back to the token's start, never before the token handled last
-        start, low = at, out[-1][1] if out else 0
+        start, low = at, runs[-1][1] if runs else 0
         while start > low and not text[start - 1].isspace():
             start -= 1
-        if out and start - out[-1][1] == 1 and text[start - 1] == " ":
-            out[-1][1] = end
+        if runs and tokens < TOKENS and start - runs[-1][1] == 1 and text[start - 1] == " ":
+            runs[-1][1] = end
+            tokens += 1
         else:
-            out.append([start, end])
+            runs.append([start, end])
+            tokens = 1
         m = _MARK.search(text, end)
     free, k = [], 0
-    for start, end in out:
+    for start, end in runs:
         while k < len(spans) and spans[k][2] <= start:
             k += 1
-        if any(s < end and e > start for s, _, e in spans[k : k + 64]):
-            continue
-        own = text[start:end]
-        start += len(own) - len(own.lstrip(_EDGE))
-        own = own.strip(_EDGE)
-        if len(own) >= 5:
-            free.append((start, start + len(own)))
+        pieces, j = [], k
+        while j < len(spans) and spans[j][0] < end:
+            pieces.append((start, spans[j][0]))
+            start = max(start, spans[j][2])
+            j += 1
+        for s, e in [*pieces, (start, end)]:
+            own = text[s:e] if s < e else ""
+            s += len(own) - len(own.lstrip(_EDGE + " "))
+            own = own.strip(_EDGE + " ")
+            if len(own) >= 5 and _MARK.search(own):
+                free.append((s, s + len(own)))
     return free
 
 
@@ -138,7 +167,7 @@ def find(docs: DataFrame) -> DataFrame:
                     before2, before1, after = _words_around(text, s, e)
                     patterns = [f"{before2} {before1} _"] if before2 else []
                     patterns += [f"{before1} _ {after}"] if before1 and after else []
-                    own.append({"start": s, "end": e, "kind": k, "instance": text[s:e].lower(), "patterns": patterns})
+                    own.append({"start": s, "end": e, "kind": k, "instance": _named(text[s:e].lower()), "patterns": patterns})
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                 seen.append(own)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(base, span), pa.array(seen, seen_type)], names=["_id", "_same", "doc_id", "base", "seen"])
@@ -148,7 +177,11 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE) -> DataFrame:
-    """(instance, kind) of the candidates that the scored graph takes for entities; ties go to the first kind listed."""
+    """(instance, kind) of the candidates that the scored graph takes for entities; ties go to the first kind listed.
+
+    ``found`` is as of ``find``. An edge counts once, however many rows hold it; instances without patterns, as of texts of one
+    word, are never taken, and an empty table gives none.
+    """
     seen = found.select(F.explode("seen").alias("s")).select("s.instance", "s.kind", F.explode("s.patterns").alias("pattern"))
     # One edge for each pair, however often it occurs: the aggregate combines before the shuffle.
     edges = stash(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
@@ -162,12 +195,12 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUP
             .agg(F.sum("score").alias("sum"), F.count("*").alias("support"))
             .filter(F.col("support") >= min_support)
             .join(sizes, "pattern")
-            .withColumn("confidence", F.col("sum") / (F.col("n") + 1))
+            .withColumn("confidence", F.round(F.col("sum") / (F.col("n") + 1), 9))
             .filter(F.col("confidence") >= min_confidence)
             .select("pattern", F.col("kind").alias("_kind"), "confidence")
         )
         votes = edges.filter("kind < 0").select("pattern", "instance").join(patterns, "pattern")
-        scores = votes.groupBy("instance", "_kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score")).filter(F.col("score") >= min_score)
+        scores = votes.groupBy("instance", "_kind").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.col("confidence")))), 9).alias("score")).filter(F.col("score") >= min_score)
         best = scores.groupBy("instance").agg(F.max_by(F.struct(F.col("_kind").alias("kind"), "score"), F.struct("score", -F.col("_kind"))).alias("b"))
         taken = stash(best.select("instance", "b.kind", "b.score"))
         known = edges.filter("kind >= 0").select("instance", "kind").distinct().select("instance", "kind", F.lit(1.0).alias("score")).unionByName(taken)
@@ -198,6 +231,7 @@ def listed(spans: Column) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, counts and digest of the base spans, and all spans as text, of each row; a null text is empty, repeated rows get the same result."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return extract(docs).select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
