@@ -48,3 +48,39 @@ def test_stages_like_brute_force(spark, tmp_path):
     texts = {r.doc_id: r.text or "" for r in after["pii"]}
     assert all(r.exact and r.ids == library.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids) for r in after["encode"])
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, after["encode"]))
+
+
+EXTRA = DOCS + ", _id int, same string, _spans int, turn int, score string"
+
+
+def test_repeated_ids_clashing_columns_nulls_and_long_texts(spark, tmp_path):
+    text = lambda k: " ".join(f"{WORDS[(k * 7 + j * (k + 3)) % len(WORDS)]}{k}" for j in range(30))
+    rows = [(3, text(2), "en", "a", 1), (5, text(1), "en", "a", 1), (5, text(2), "en", "b", 1), (6, text(4), "en", "a", 1), (6, text(4), "en", "a", 1), (6, text(4), "fr", "a", 1)]
+    rows += [(None, text(5), "en", None, None), (None, text(6), "en", "a", 1), (9, text(5), "en", "a", 1), (10, None, None, None, None), (10, "", "en", "a", 0), (10, "", "en", "a", 0)]
+    rows += [(11, "river " * 40_000 + "a.b@site.example.org", "en", "b", 1)]
+    table = spark.createDataFrame([(*r, 7, "s", 8, 9, "x") for r in rows], EXTRA)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    keep = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert sorted(map(str, keep.collect())) == sorted(map(str, table.collect()))
+    once = corpus_pipeline.one_of_each(spark, docs, str(tmp_path)).collect()
+    want = [rows[0], rows[1], rows[3], rows[6], rows[7], *rows[9:13]]
+    assert sorted(str(tuple(r)) for r in once) == sorted(str((*r, 7, "s", 8, 9, "x")) for r in want)
+    clean = corpus_pipeline.redact(spark, docs, str(tmp_path)).collect()
+    assert len(clean) == len(rows) and [r.text for r in clean if r.doc_id == 11] == ["river " * 40_000 + "<EMAIL>"]
+    assert all(tuple(r)[5:] == (7, "s", 8, 9, "x") for r in clean) and sum(r.text is None for r in clean) == 1
+    assert sorted(str(tuple(r)) for r in clean if r.doc_id != 11) == sorted(str((*r, 7, "s", 8, 9, "x")) for r in rows[:-1])
+    mix = corpus_pipeline.mixed(spark, docs, str(tmp_path)).collect()
+    taken = source_mix.mix(docs).collect()
+    assert sorted(str(r.doc_id) for r in mix) == sorted(str(r.doc_id) for r in taken for _ in range(r.copies))
+    sizes = sum(len((r.text or "").split()) for r in mix)
+    assert sizes == sum(r.taken for r in taken)
+    ids = corpus_pipeline.encoded(spark, docs, str(tmp_path)).collect()
+    assert len(ids) == len(rows) and all(r.exact for r in ids)
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], EXTRA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
