@@ -93,7 +93,7 @@ def mix(docs: DataFrame, seed: str = SEED, most: int = MOST, also: dict[str, Col
     key = ["_none", "_source"]
     u = (F.col("_number") + 0.5) / float(2**52)
     ratio = F.when(F.col("_odds") > 0, u / (1 - u) / (F.col("_odds") / (1 - F.col("_odds"))))
-    rows = sizes.join(odds(sizes, most), [*key, "_digits"]).withColumn("_ratio", ratio)
+    rows = sizes.join(stash(odds(sizes, most)), [*key, "_digits"]).withColumn("_ratio", ratio)
     settled = rows.filter(F.col("_ratio").isNull()).withColumn("_extra", F.lit(0))
     open_ = rows.filter(F.col("_ratio").isNotNull()).withColumn("_before", F.lit(0).cast("long"))
     place = F.col("_ratio") / (1 + F.col("_ratio"))
