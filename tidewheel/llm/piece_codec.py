@@ -28,7 +28,7 @@ from .shared import Recent
 
 BLANK = "▁"
 #: Entries of each table that a worker remembers before it keeps only those that it meets again.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Texts of more characters are cut one piece after another, so that their words are never all there at once.
 AT_ONCE = 1_000_000
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
