@@ -60,3 +60,26 @@ def test_false_magic_and_standard_gzip(tmp_path):
             (tmp_path / "b").write_bytes(data[:-20])
             with pyarrow.fs.LocalFileSystem().open_input_file(os.fspath(tmp_path / "b")) as cut:
                 list(warc.records_in(cut, 0, len(data)))
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    def record(head, block):
+        return gzip.compress("\r\n".join(["WARC/1.0", *head, f"content-length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    data = record(["WARC-Type: request", "WARC-Record-ID: <urn:uuid:0>"], b"GET / HTTP/1.1\r\n\r\n")
+    data += record(["warc-TYPE: response", "warc-record-id: <urn:uuid:1>", "WARC-Target-URI:http://a/", "X-Long: one", " two"], http + b"body\r\n\r\nmore")
+    data += record(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:2>", "WARC-Payload-Digest: md5:abc"], b"plain block")
+    data += record(["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:3>", "WARC-Refers-To: <urn:uuid:1>"], http)
+    data += record(["WARC-Type: revisit", "WARC-Payload-Digest: sha1:ABC"], b"")
+    (tmp_path / "other.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(f"file://{tmp_path}/other.warc.gz", len(data))], warc.MANIFEST)
+    for step in (60, 1 << 20):
+        got = sorted(warc.read(files, step).collect(), key=lambda r: r.offset)
+        digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+        assert [(r.record_id, r.page_id, r.url, r.record_type, r.payload_digest, r.payload_bytes, r.refers_to_id, r.payload and bytes(r.payload)) for r in got] == [
+            ("<urn:uuid:1>", None, "http://a/", "response", digest(b"body\r\n\r\nmore"), 12, None, b"body\r\n\r\nmore"),
+            ("<urn:uuid:2>", None, None, "response", digest(b"plain block"), 11, None, b"plain block"),
+            ("<urn:uuid:3>", None, None, "revisit", None, None, "<urn:uuid:1>", None),
+            (None, None, None, "revisit", "ABC", None, None, None),
+        ]

@@ -7,7 +7,8 @@ replaces its own file. Folders are opened through pyarrow.fs, so any store it kn
 
 Reading: an archive is cut into byte ranges. A task looks for gzip magic numbers in its range, takes a
 place for a member only if it inflates to a WARC header, and owns the records that start inside its
-range, reading beyond the end for the last. No index is needed, and one large file is read by many tasks.
+range, reading beyond the end for the last. No index is needed, and one large file is read by many tasks. (A whole WARC member that
+stands uncompressed inside another one's data, where a range starts, cannot be told from a record.)
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 4 << 20
 CHUNK = 1 << 16
 MANIFEST = "path string, bytes long"
-RECORDS = "path string, offset long, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+RECORDS = "path string, offset long, record_id string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to_id string, refers_to long, payload binary"
 
 
 def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -111,8 +112,16 @@ def _header(head: bytes) -> dict[str, str] | None:
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/1."):
         return None
-    fields = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
-    return fields if "WARC-Type" in fields and fields.get("Content-Length", "").isdigit() else None
+    # Names are in any case, and a line that begins with a blank goes on with the field before it.
+    fields: dict[str, str] = {}
+    name = ""
+    for x in lines[1:]:
+        if x[:1] in (" ", "\t") and name:
+            fields[name] += " " + x.strip()
+        elif ":" in x:
+            name, value = x.split(":", 1)
+            fields[name := name.strip().lower()] = value.strip()
+    return fields if "warc-type" in fields and fields.get("content-length", "").isdigit() else None
 
 
 def _inflate(file, at: int, buffer: bytes, base: int) -> tuple[dict[str, str], bytes, int] | None:
@@ -142,8 +151,8 @@ def _inflate(file, at: int, buffer: bytes, base: int) -> tuple[dict[str, str], b
             return None
     if fields is None:
         return None
-    block = bytes(data[end + 4 : end + 4 + int(fields["Content-Length"])])
-    if len(block) != int(fields["Content-Length"]):
+    block = bytes(data[end + 4 : end + 4 + int(fields["content-length"])])
+    if len(block) != int(fields["content-length"]):
         raise ValueError(f"the record at {at} is shorter than its header says")
     return fields, block, fed - len(inflater.unused_data)
 
@@ -171,15 +180,17 @@ def _page(urn: str | None) -> int | None:
 def read(archives: DataFrame, range_bytes: int = RANGE_BYTES, most_tasks: int = 20_000) -> DataFrame:
     """The response and revisit records of ``archives`` (path, bytes), with payloads; a revisit's payload is null.
 
-    A response's digest and length are those of the payload read, and a digest that differs from its header
-    is an error; a revisit's come from its headers. Other record types are passed over.
+    A response's digest and length are those of the payload read, and a SHA-1 digest that differs from its header
+    is an error; a revisit's come from its headers, null where those lack them. Other record types are passed over. Record ids of any form
+    are kept as they are (``record_id``, ``refers_to_id``); the page numbers in them are null unless this writer made them.
+    A block that is no HTTP message is a payload as a whole.
     """
     ranges = archives.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     tasks = ranges.count()
     ranges = ranges.select("path", "start", F.least("bytes", F.col("start") + range_bytes).alias("end")).repartition(max(1, min(tasks, most_tasks)), "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to_id", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
             for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 files, place = _open(path)
@@ -187,18 +198,21 @@ def read(archives: DataFrame, range_bytes: int = RANGE_BYTES, most_tasks: int =
                 held = 0
                 with files.open_input_file(place) as file:
                     for offset, fields, block in records_in(file, start, end):
-                        kind = fields["WARC-Type"]
+                        kind = fields["warc-type"].lower()
                         if kind not in ("response", "revisit"):
                             continue
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                        http, gap, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+                        algorithm, _, digest = (fields.get("warc-payload-digest") or "").rpartition(":")
                         if kind == "response":
-                            size = len(payload)
-                            if _base32(hashlib.sha1(payload).digest()) != digest:
+                            size, own = len(payload), _base32(hashlib.sha1(payload).digest())
+                            if digest and algorithm.lower() == "sha1" and len(digest) == len(own) and digest.upper() != own:
                                 raise ValueError(f"the payload at {offset} of {path} does not have its digest")
+                            digest = own
                         else:
-                            size, payload = int(re.search(rb"(?i)content-length: *(\d+)", http)[1]), None
-                        rows.append((path, offset, _page(fields.get("WARC-Record-ID")), fields.get("WARC-Target-URI"), kind, digest, size, _page(fields.get("WARC-Refers-To")), payload))
+                            stated = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
+                            size, payload = int(stated[1]) if stated else None, None
+                        ids = fields.get("warc-record-id"), fields.get("warc-refers-to")
+                        rows.append((path, offset, ids[0], _page(ids[0]), fields.get("warc-target-uri"), kind, digest or None, size, ids[1], _page(ids[1]), payload))
                         held += len(payload or b"")
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
