@@ -64,7 +64,7 @@ def test_like_brute_force(spark, monkeypatch, seed, short):
     rows = corpus(seed, 350, 9)
     if short == 2:
         lists = jaccard_join.inverted_lists
-        monkeypatch.setattr(jaccard_join, "inverted_lists", lambda posted: lists(posted, 2))
+        monkeypatch.setattr(jaccard_join, "inverted_lists", lambda posted, partitions: lists(posted, partitions, 2))
         monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     got = jaccard_join.join(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(tuple, got)) == brute(rows)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tasks
 from .words import mix64, word_hashes
 
 SAMPLES = 64
@@ -134,7 +135,7 @@ def edited(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     many (or all) of the next document; after the last comes the first. Rows with the same doc_id follow
     each other by text, nulls first; null ids come last. A null text counts as empty.
     """
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or tasks(docs.sparkSession, docs.agg(F.sum(F.octet_length("text"))).first()[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row so far, whose next one is still to come: range, id, text, fingerprint

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stash
+from .shared import stash, tasks
 from .words import mix64, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -144,10 +144,9 @@ def postings(docs: DataFrame) -> DataFrame:
 LISTS = "shingle long, sig long, members array<long>, hot long"
 
 
-def inverted_lists(posted: DataFrame, short: int = SHORT) -> DataFrame:
+def inverted_lists(posted: DataFrame, partitions: int, short: int = SHORT) -> DataFrame:
     """Lists of 2 to ``short`` classes (sig, members), and a row (shingle, hot) for each class of a longer list."""
-    n = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = posted.repartition(n, "shingle").sortWithinPartitions("shingle", "_key")
+    ordered = posted.repartition(partitions, "shingle").sortWithinPartitions("shingle", "_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Lists(short)
@@ -234,12 +233,11 @@ def divide_skip(own: int, lists: list[tuple[int, list[int]]], enough: int) -> di
     return found
 
 
-def search(lists: DataFrame, info: DataFrame) -> DataFrame:
+def search(lists: DataFrame, info: DataFrame, partitions: int) -> DataFrame:
     """Candidates (a, b), a < b: b shares enough indexed shingles with a, whose hot ones (``info.hot``) count as shared."""
-    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     merged = lists.filter("sig is not null").groupBy("sig").agg(F.count("*").alias("weight"), F.first("members").alias("members"))
     asked = merged.select(F.explode("members").alias("_key"), "weight", "members")
-    rows = asked.join(info, "_key").select("_key", "least", "hot", "weight", "members").repartition(n, "_key").sortWithinPartitions("_key")
+    rows = asked.join(info, "_key").select("_key", "least", "hot", "weight", "members").repartition(partitions, "_key").sortWithinPartitions("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, enough, lists = None, 1, []
@@ -368,7 +366,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     rep = F.coalesce("doc_id", F.lit(-(2**63)))
     table = own.filter("n > 0").groupBy("_key").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("below").alias("below"))
 
-    lists = stash(inverted_lists(postings(docs)))
+    # A posting has 16 bytes; about CUT of all shingles are indexed.
+    n = tasks(docs.sparkSession, int(16 * CUT * (own.agg(F.sum("n")).first()[0] or 0)))
+    lists = stash(inverted_lists(postings(docs), n))
     hot = lists.filter("hot is not null").select("shingle", F.col("hot").alias("_key"))
 
     @F.pandas_udf("int")
@@ -376,7 +376,7 @@ def grouped(docs: DataFrame) -> DataFrame:
         return pd.Series([least_threshold(int(a), int(b)) for a, b in zip(n, below, strict=True)])
 
     info = stash(table.join(hot.groupBy("_key").agg(F.count("*").alias("hot")), "_key", "left").select("_key", "rep", "n", "below", F.coalesce("hot", F.lit(0)).alias("hot"), least("n", "below").alias("least")))
-    pairs = stash(search(lists, info))
+    pairs = stash(search(lists, info, n))
 
     # Equal hot lists are one token with a weight, as those of one shared passage are.
     listed = hot.groupBy("shingle").agg(F.count("*").alias("m"), F.sum(F.xxhash64("_key").cast("decimal(38,0)")).alias("sig"))

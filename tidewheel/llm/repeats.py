@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import stash, tasks
 from .words import _BASE, _CODE, _INVERSE, _power, mix64
 
 LENGTH = 50
@@ -226,7 +226,8 @@ def remove(docs: DataFrame, hot_windows: int = WINDOWS) -> DataFrame:
                     windows = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
                     yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(ids[at[own]]), pa.array(same[at[own]]), pa.array((f - starts[own]).astype(np.int32)), pa.array((place[part] - f).astype(np.int8)), windows, pa.array(hot[part])], names=["h", "id", "same", "at", "shift", "bytes", "hot"])
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Windows overlap: of texts that repeat throughout, some three times their bytes are sent.
+    n = tasks(spark, 3 * (base.agg(F.sum("n_bytes")).first()[0] or 0))
     sent = firsts.mapInArrow(cut, "h long, id long, same int, at int, shift byte, bytes binary, hot boolean").repartition(n, "h").sortWithinPartitions("h", "id")
     spans = sent.mapInArrow(_build, "h long, id long, same int, start int, end int, string binary")
     if any_hot:

@@ -41,6 +41,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidewheel-{uuid.uuid4().hex}"
 
 
+def tasks(spark: SparkSession, size: int | None, each: int = 64 << 20) -> int:
+    """How many partitions ``size`` bytes are dealt over: the session's number, or more if a partition had more than ``each`` bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // each))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Each name, with underscores before it until ``df`` has no column of that name (case is ignored, as Spark does)."""
     taken = {c.lower() for c in df.columns}
