@@ -48,8 +48,7 @@ def test_pattern_goldens(readings):
     both = patterns.rising_or_falling(readings, "sensor", ["ts"], "temperature", 5)
     want = [(1, ts("2023-04-03 02:00:01"), 40.0, ts("2023-04-03 02:00:13"), 47.0), (2, ts("2023-04-03 02:00:02"), 59.0, ts("2023-04-03 02:00:14"), 53.0)]
     assert values(both) == want
-    schema = "sensor int, first_ts timestamp_ntz, first_temperature double, last_ts timestamp_ntz, last_temperature double"
-    assert values(patterns.same_direction(readings, "sensor", ["ts"], "temperature", 5, schema)) == want
+    assert values(patterns.same_direction(readings, "sensor", ["ts"], "temperature", 5)) == want
     t = F.col("temperature")
     abc = patterns.sequence_abc(readings, "sensor", ["ts"], t > 51, t < 51, t > 51)
     assert values(abc, "sensor", "ts") == [(0, ts("2023-04-03 02:00:00"))]
@@ -64,7 +63,7 @@ def test_hot_keys_are_not_collected(spark):
     for k in (1, 2):
         own = [(i, v) for kk, i, v in rows if kk == k]
         want += [(k, own[a][0], own[a][1], own[b][0], own[b][1]) for a, b in patterns.scan_same_direction([v for _, v in own], 4)]
-    got = patterns.same_direction(df, "k", ["i"], "v", 4, "k int, first_i int, first_v double, last_i int, last_v double")
+    got = patterns.same_direction(df, "k", ["i"], "v", 4)
     assert values(got) == sorted(want)
     plan = got._jdf.queryExecution().toString()
     assert "FlatMapGroups" not in plan and "MapInPandas" in plan
@@ -82,7 +81,7 @@ def test_patterns_like_brute_force(spark):
     for k, own in by.items():
         for a, b in patterns.scan_same_direction([v for _, v in own], 3):
             want.append((k, own[a][0], own[a][1], own[b][0], own[b][1]))
-    got = patterns.same_direction(df, "k", ["i"], "v", 3, "k int, first_i int, first_v double, last_i int, last_v double")
+    got = patterns.same_direction(df, "k", ["i"], "v", 3)
     assert values(got) == sorted(want)
     want = []
     for k, own in by.items():

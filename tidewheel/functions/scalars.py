@@ -45,7 +45,7 @@ def hours_between(a: Column, b: Column) -> Column:
 
 def minutes_between_ms(a: Column, b: Column) -> Column:
     """Whole minutes from the time a to the time b, by milliseconds, truncating."""
-    return ((F.unix_millis(b.cast("timestamp")) - F.unix_millis(a.cast("timestamp"))) / 60_000).cast("long")
+    return F.call_function("div", F.unix_millis(b.cast("timestamp")) - F.unix_millis(a.cast("timestamp")), F.lit(60_000))
 
 
 def day_name(date: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import fresh
+
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
     """The first n rows of each key; Spark limits each group before and after the shuffle. ``order`` should end with a unique column."""
@@ -29,9 +31,25 @@ def rising(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str
     return lagged(df, keys, order, column, name).filter(F.col(column) > F.col(name))
 
 
-def count_over_range(df: DataFrame, key: str, ts: str, interval: str, name: str = "n") -> DataFrame:
+def over_interval(df: DataFrame, key: str, ts: str, microseconds: int, value: str, name: str, spans: int = 8) -> DataFrame:
+    """Add ``name``, the aggregate ``value`` (SQL) over each row's key in the interval up to it.
+
+    A key may hold a large part of all rows, so a key's time is cut into ranges of ``spans`` intervals, each a window partition of its own. Rows
+    of the last interval of a range are copied into the next (a halo): one row in ``spans`` is sent twice.
+    """
+    at, place = fresh(df, "at", "range")
+    width = microseconds * spans
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    first, last = F.floor(micros / width), F.floor((micros + microseconds) / width)
+    ranged = df.withColumn(at, first).withColumn(place, F.explode(F.when(last > first, F.array(first, first + 1)).otherwise(F.array(first))))
+    # A row without a time is in the range null, with the others of its key that have none.
+    frame = f"over (partition by `{key}`, `{place}` order by `{ts}` range between interval '{microseconds / 1e6:.6f}' second preceding and current row)"
+    return ranged.withColumn(name, F.expr(f"{value} {frame}")).filter(F.col(place).eqNullSafe(F.col(at))).drop(at, place)
+
+
+def count_over_range(df: DataFrame, key: str, ts: str, microseconds: int, name: str = "n") -> DataFrame:
     """For each row, its key's rows in the interval up to it."""
-    return df.withColumn(name, F.expr(f"count(*) over (partition by {key} order by {ts} range between interval {interval} preceding and current row)"))
+    return over_interval(df, key, ts, microseconds, "count(*)", name)
 
 
 def average_over_rows(df: DataFrame, order: Sequence[str], column: str, preceding: int, name: str, digits: int = 2, partitions: int | None = None) -> DataFrame:
@@ -85,3 +103,28 @@ def changelog(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     after = counted.withColumn("kind", F.when(F.col("n") == 1, "+I").otherwise("+U"))
     before = counted.filter("n > 1").withColumn("n", F.col("n") - 1).withColumn("kind", F.lit("-U"))
     return after.unionByName(before)
+
+
+def totals_at_ticks(df: DataFrame, key: str, order: Sequence[str], ts_ms: str, amount: str, tick_ms: int) -> DataFrame:
+    """Each time that a key's time passes a tick, its total up to then: key, tick_ms, total."""
+    total, tick, last = fresh(df, "total_before", "tick_of", "tick_before")
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = df.select(key, *dict.fromkeys([*order, ts_ms, amount])).withColumn(tick, F.expr(f"`{ts_ms}` div {tick_ms}"))
+    rows = rows.withColumn(last, F.lag(tick).over(w)).withColumn(total, F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.filter(F.col(tick) > F.col(last)).select(key, ((F.col(last) + 1) * tick_ms).alias("tick_ms"), F.col(total).alias("total"))
+
+
+def leader_at_ticks(df: DataFrame, key: str, ts_ms: str, amount: str, tick_ms: int) -> DataFrame:
+    """Each time that time (of all keys) passes a tick, the key with the largest total of the rows before it, the smallest key among equals.
+
+    tick_ms, key, total. Amounts must not be negative: a key's total then never falls, so the largest total so far is that of a leader. Totals
+    are added up by key and tick first, and each tick keeps its best key; the last windows see one row a tick.
+    """
+    tick, best, most, rank = fresh(df, "tick_of", "total", "most", "rank")
+    summed = df.groupBy(key, F.expr(f"`{ts_ms}` div {tick_ms}").alias(tick)).agg(F.sum(amount).alias(best))
+    grown = summed.withColumn(best, F.sum(best).over(Window.partitionBy(key).orderBy(tick)))
+    top = grown.withColumn(rank, F.row_number().over(Window.partitionBy(tick).orderBy(F.desc(best), key))).filter(F.col(rank) == 1)
+    by_tick = Window.orderBy(tick).rowsBetween(Window.unboundedPreceding, 0)
+    held = top.withColumn(most, F.max(best).over(by_tick)).withColumn(rank, F.lead(tick).over(Window.orderBy(tick)))
+    leader = F.min(F.when(F.col(best) == F.col(most), F.col(key))).over(Window.partitionBy(most).orderBy(tick).rowsBetween(Window.unboundedPreceding, 0))
+    return held.withColumn(key, leader).filter(F.col(rank).isNotNull()).select(((F.col(tick) + 1) * tick_ms).alias("tick_ms"), key, F.col(most).alias("total"))

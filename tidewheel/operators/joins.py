@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import fresh
+
 #: Rows up to which a static side is broadcast.
 SMALL = 100_000
 
@@ -47,6 +49,18 @@ def symmetric_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str,
     return interval_join(left, right, keys, left_ts, right_ts, f"-{within}", within, **how)
 
 
+def lookup_with_ttl(df: DataFrame, key: str, ts_ms: str, value: str, side: str, ttl_ms: int) -> DataFrame:
+    """Stacked rows of a stream (side 1) and a table (side 0): each stream row with the table's last value, unless that is older than the limit.
+
+    key, ts_ms, left, right; a null value removes the key from the table, and at one time the table's rows come first. One window over both sides.
+    """
+    (seen,) = fresh(df, "seen")
+    w = Window.partitionBy(key).orderBy(ts_ms, side).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col(side) == 0, F.struct(F.col(ts_ms).alias("t"), F.col(value).alias("v"))), ignorenulls=True).over(w)
+    rows = df.withColumn(seen, last).filter(F.col(side) == 1)
+    return rows.select(key, ts_ms, F.col(value).alias("left"), F.when(F.col(ts_ms) - F.col(seen)["t"] <= ttl_ms, F.col(seen)["v"]).alias("right"))
+
+
 def theta_join(left: DataFrame, right: DataFrame, key: tuple[str, str], residual: Column) -> DataFrame:
     """Equal keys and any further condition."""
     return left.join(right, (left[key[0]] == right[key[1]]) & residual)

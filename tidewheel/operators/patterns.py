@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..streaming.stateful import scan
+from .names import fresh
 
 
 def sequence_abc(df: DataFrame, key: str, order: Sequence[str], a: Column, b: Column, c: Column) -> DataFrame:
@@ -18,13 +18,21 @@ def sequence_abc(df: DataFrame, key: str, order: Sequence[str], a: Column, b: Co
     chain by an aggregate over the chain's positions.
     """
     w = Window.partitionBy(key).orderBy(*order)
-    found = df.withColumn("_i", F.row_number().over(w)).withColumn("_ok", a & F.lead(b.cast("boolean")).over(w) & F.lead(c.cast("boolean"), 2).over(w))
-    found = found.withColumn("third", F.lead(F.struct(*order), 2).over(w)).filter("_ok")
-    start = F.when(F.coalesce(F.col("_i") - F.lag("_i").over(w) >= 3, F.lit(True)), 1).otherwise(0)
-    chained = found.withColumn("_start", start).withColumn("_chain", F.sum("_start").over(w))
-    places = Window.partitionBy(key, "_chain")
-    taken = F.aggregate(F.sort_array(F.collect_list("_i").over(places)), F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) == 0) | (i - F.element_at(acc, -1) >= 3), F.concat(acc, F.array(i))).otherwise(acc))
-    return chained.withColumn("_taken", taken).filter(F.array_contains("_taken", F.col("_i"))).drop("_i", "_ok", "_start", "_chain", "_taken")
+    place, ok, start, chain, at, least, last = fresh(df, *"place ok start chain at least last".split())
+    found = df.withColumn(place, F.row_number().over(w)).withColumn(ok, a & F.lead(b.cast("boolean")).over(w) & F.lead(c.cast("boolean"), 2).over(w))
+    found = found.withColumn("third", F.lead(F.struct(*order), 2).over(w)).filter(ok)
+    begins = F.when(F.coalesce(F.col(place) - F.lag(place).over(w) >= 3, F.lit(True)), 1).otherwise(0)
+    chained = found.withColumn(start, begins).withColumn(chain, F.sum(start).over(w))
+    # A chain of one candidate, as most are, is a match; of longer ones the places are gathered once for each chain.
+    edges = Window.partitionBy(key, chain)
+    chained = chained.withColumn(least, F.min(place).over(edges)).withColumn(last, F.max(place).over(edges))
+    alone = chained.filter(F.col(last) == F.col(least))
+    longer = chained.filter(F.col(last) > F.col(least))
+    keep = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= 3), F.concat(acc, F.array(x))).otherwise(acc)
+    taken = longer.groupBy(F.col(key).alias(at), chain).agg(F.aggregate(F.sort_array(F.collect_list(place)), F.array().cast("array<int>"), keep).alias(start))
+    taken = taken.select(at, F.explode(start).alias(least))
+    chosen = longer.drop(least).join(taken, F.col(key).eqNullSafe(F.col(at)) & (F.col(place) == F.col(least)), "left_semi")
+    return alone.select(*df.columns, "third").unionByName(chosen.select(*df.columns, "third"))
 
 
 def rising_runs(df: DataFrame, key: str, order: Sequence[str], column: str, n: int, falling: bool = False) -> DataFrame:
@@ -62,36 +70,31 @@ def scan_same_direction(values: list[float], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def same_direction(df: DataFrame, key: str, order: Sequence[str], column: str, n: int, schema: str) -> DataFrame:
-    """Matches of n following rows that rise or fall throughout, skipping past the last row.
+def same_direction(df: DataFrame, key: str, order: Sequence[str], column: str, n: int) -> DataFrame:
+    """Matches of n (2 or more) following rows that rise or fall throughout, skipping past the last row: key, first_* and last_* columns.
 
-    Which rows are free depends on the matches before, so each key is scanned in order: its rows are read as a sorted
-    sequence in Arrow batches, and only the run that may still become a match is held. Only rows that can match are
-    sent to the scan: those in monotone stretches of n or more, with their place in the key.
+    A stretch is a run of steps in one direction with the row before it, which it shares with the stretch before. It gives a
+    match for every n rows from its first free row on, so all that one stretch tells the next is whether a match took the
+    shared row. With m steps it did if m + 1 - (taken before) is a multiple of n: a stretch passes the bit on, turns it round, or sets it
+    to 0. The bit is therefore the parity of the turns since the last reset, a running sum over the key's rows in order; all windows
+    share one sort. Rows without a value, and rows equal to the one before, start anew.
     """
     w = Window.partitionBy(key).orderBy(*order)
-    sign = F.signum(F.col(column) - F.lag(column).over(w))
-    placed = df.select(key, *order, column, F.row_number().over(w).alias("_i"), sign.alias("_s"))
-    turns = placed.withColumn("_t", F.when(F.col("_s").isNull() | (F.col("_s") == 0) | ~F.col("_s").eqNullSafe(F.lag("_s").over(w)), 1).otherwise(0)).withColumn("_run", F.sum("_t").over(w))
-    length = F.count("*").over(Window.partitionBy(key, "_run"))
-    # A stretch of n - 1 steps in one direction, and the row before it.
-    long = turns.withColumn("_n", length).withColumn("_next", F.lead("_n").over(w)).filter((F.col("_n") >= n - 1) | (F.col("_next") >= n - 1)).select(key, *order, column, "_i")
-    names = [key, *[f"first_{c}" for c in (*order, column)], *[f"last_{c}" for c in (*order, column)]]
-
-    def step(state: dict, row: dict) -> tuple[dict, list[dict]]:
-        run = state.get("run", [])
-        if run and row["_i"] != run[-1]["_i"] + 1:
-            run = []  # rows between were not sent
-        run = [*run, row]
-        if len(run) > 1:
-            signs = [(b[column] > a[column]) - (b[column] < a[column]) for a, b in zip(run, run[1:], strict=False)]
-            if not signs[-1]:
-                run = run[-1:]
-            elif len(signs) > 1 and signs[-1] != signs[-2]:
-                run = run[-2:]
-        if len(run) < n:
-            return {"run": run}, []
-        places = [run[0][key], *[run[0][c] for c in (*order, column)], *[run[-1][c] for c in (*order, column)]]
-        return {}, [dict(zip(names, places, strict=True))]
-
-    return scan(long, key, list(order), {}, step, schema)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    i, sign, turn, start, steps, reset, swap, swaps, base, first, taken = fresh(df, *"i sign turn start steps reset swap swaps base first taken".split())
+    rows = df.select(key, *order, column).withColumn(i, F.row_number().over(w)).withColumn(sign, F.signum(F.col(column) - F.lag(column).over(w)))
+    rows = rows.withColumn(first, F.lag(F.struct(*order, column), n - 1).over(w))
+    moves = F.coalesce(F.col(sign) != 0, F.lit(False))
+    rows = rows.withColumn(turn, ~moves | ~F.col(sign).eqNullSafe(F.lag(sign).over(w)))
+    rows = rows.withColumn(start, F.max(F.when(F.col(turn), F.col(i))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn(steps, F.col(i) - F.col(start) + 1)
+    ends = F.coalesce(F.lead(turn).over(w), F.lit(True))
+    m = F.col(steps)
+    rows = rows.withColumn(reset, ends & (~moves | ((m % n != 0) & ((m + 1) % n != 0)))).withColumn(swap, (ends & moves & ((m + 1) % n == 0)).cast("int"))
+    rows = rows.withColumn(swaps, F.sum(swap).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn(base, F.coalesce(F.max(F.when(F.col(reset), F.col(swaps))).over(before), F.lit(0)))
+    rows = rows.withColumn(taken, (F.coalesce(F.lag(swaps).over(w), F.lit(0)) - F.col(base)) % 2)
+    # Within a stretch the sums before a row are those before the stretch: only its last row adds to them.
+    free = m + 1 - F.col(taken)
+    out = rows.filter(moves & (free >= n) & (free % n == 0))
+    return out.select(key, *[F.col(first)[c].alias(f"first_{c}") for c in (*order, column)], *[F.col(c).alias(f"last_{c}") for c in (*order, column)])

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .analytic import over_interval
+
 
 def _flat(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     return df.select(*keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *names)
@@ -55,8 +57,8 @@ def session(df: DataFrame, ts: str, gap: str, keys: Sequence[str] = (), end: str
 
 def trailing_average(df: DataFrame, ts: str, key: str, value: str, milliseconds: int, name: str, digits: int = 2) -> DataFrame:
     """For each row the average of its key over the ``milliseconds`` up to it."""
-    over = f"over (partition by {key} order by {ts} range between interval '{milliseconds / 1000:.3f}' second preceding and current row)"
-    return df.withColumn(name, F.expr(f"round(avg({value}) {over}, {digits})"))
+    out = over_interval(df, key, ts, milliseconds * 1000, f"avg(`{value}`)", name)
+    return out.withColumn(name, F.round(name, digits))
 
 
 def sliding(df: DataFrame, ts_ms: str, key: str, value: str, milliseconds: int, digits: int = 2) -> DataFrame:

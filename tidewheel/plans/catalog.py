@@ -326,7 +326,7 @@ def lag_rising(t):
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events")
 def over_range_1h(t):
-    return A.count_over_range(t("events"), "event_type", "ts", "1 hour").select("event_id", "n")
+    return A.count_over_range(t("events"), "event_type", "ts", 3_600_000_000).select("event_id", "n")
 
 
 @query("SELECT event_id, round(avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) AS average FROM events")
@@ -374,10 +374,13 @@ def pattern_up_or_down_union(t):
     return P.rising_or_falling(t("events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", 3).select("user_id", F.col("first_event_id").alias("first_id"), F.col("last_event_id").alias("last_id"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT user_id, event_id, ts, value, row_number() OVER w AS i, lead(value) OVER w AS b, lead(value, 2) OVER w AS c, lead(value, 3) OVER w AS d,
+lead(event_id, 3) OVER w AS last_event_id, lead(ts, 3) OVER w AS last_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT * FROM p WHERE (value < b AND b < c AND c < d) OR (value > b AND b > c AND c > d)),
+m AS (SELECT user_id, min(i) AS i FROM c GROUP BY user_id UNION ALL SELECT m.user_id, (SELECT min(c.i) FROM c WHERE c.user_id = m.user_id AND c.i >= m.i + 4) FROM m WHERE m.i IS NOT NULL)
+SELECT user_id, ts AS first_ts, event_id AS first_event_id, value AS first_value, last_ts, last_event_id, d AS last_value FROM c JOIN m USING (user_id, i)""")
 def pattern_same_direction(t):
-    schema = "user_id long, first_ts timestamp_ntz, first_event_id long, first_value double, last_ts timestamp_ntz, last_event_id long, last_value double"
-    return P.same_direction(t("events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", 4, schema)
+    return P.same_direction(t("events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", 4)
 
 
 # --- joins ---------------------------------------------------------------------------------------------------------
@@ -396,7 +399,7 @@ def interval_join(t):
 
 @query("SELECT a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'error'")
 def window_join_symmetric(t):
-    return J.symmetric_join(*_types(t, "click", "error"), [("left_user", "user_id")], "left_ts", "right_ts", "1 hour").select("left_id", "right_id")
+    return J.symmetric_join(*_types(t, "click", "error"), [("left_user", "user_id")], "left_ts", "right_ts", "1 hour", bucket_seconds=7_200).select("left_id", "right_id")
 
 
 @query("SELECT a.o_orderkey, l.l_linenumber FROM orders a JOIN lineitem l ON a.o_orderkey = l.l_orderkey AND l.l_shipdate >= a.o_orderdate")
@@ -620,7 +623,7 @@ def stream_median(t):
 
 @query(_MEDIAN)
 def scan_median(t):
-    return stateful.scan(t("events"), "user_id", ["event_id"], {}, stateful.median_step("user_id", "event_id", "value", 3), _MEDIAN_SCHEMA)
+    return A.trailing_median(t("events"), "user_id", ["event_id"], "value", 3).select("user_id", "event_id", "value", "median")
 
 
 @query("""SELECT user_id, event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) WHERE before IS NULL OR ts - before > INTERVAL 1 HOUR""")
@@ -638,8 +641,7 @@ ASOF LEFT JOIN (SELECT user_id AS u, ts, event_id FROM events WHERE event_type =
 
 @query(_TTL)
 def ttl_join(t):
-    step = stateful.ttl_join_step("user_id", "t", "v", "side", 86_400_000)
-    return stateful.scan(_sided(t("events")), "user_id", ["t", "side"], {}, step, "user_id long, t long, left long, right long")
+    return J.lookup_with_ttl(_sided(t("events")), "user_id", "t", "v", "side", 86_400_000)
 
 
 @query(_TTL)
@@ -651,9 +653,18 @@ def stream_ttl_join(t):
 @query("""WITH e AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) AS t, (epoch_us(ts) // 1000) // 21600000 AS k FROM events),
 s AS (SELECT *, sum(event_id) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS total, lag(k) OVER (PARTITION BY user_id ORDER BY t, event_id) AS before FROM e)
 SELECT user_id, ((before + 1) * 21600000)::BIGINT AS tick_ms, total FROM s WHERE before IS NOT NULL AND k > before""")
+def keyed_accumulate(t):
+    e = t("events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    return A.totals_at_ticks(e, "user_id", ["t", "event_id"], "t", "event_id", 21_600_000)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) AS t FROM events), b AS (SELECT DISTINCT t // 21600000 AS k FROM e),
+ticks AS (SELECT (k + 1) * 21600000 AS tick_ms FROM b WHERE k < (SELECT max(k) FROM b)),
+totals AS (SELECT tick_ms, user_id, sum(event_id) AS total FROM ticks JOIN e ON t < tick_ms GROUP BY ALL)
+SELECT tick_ms::BIGINT AS tick_ms, user_id, total::BIGINT AS total FROM (SELECT *, row_number() OVER (PARTITION BY tick_ms ORDER BY total DESC, user_id) AS r FROM totals) WHERE r = 1""")
 def punctuate(t):
     e = t("events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
-    return stateful.scan(e, "user_id", ["t", "event_id"], {}, stateful.accumulate_step("user_id", "t", "event_id", 21_600_000), "user_id long, tick_ms long, total long")
+    return A.leader_at_ticks(e, "user_id", "t", "event_id", 21_600_000)
 
 
 @query("SELECT user_id, event_id, ((epoch_us(ts) // 1000) // 36000000)::BIGINT AS interval, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS place FROM events")
