@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,12 @@ from ..session import configure
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under the folder that driver and executors share; /tmp/checkpoints where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
+    """A new path under the folder that driver and executors share; /tmp/checkpoints where none is set and the master is local."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -28,12 +33,13 @@ def without_zone(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in df.dtypes if t == "timestamp"})
 
 
-def drain(df: DataFrame, mode: str = "append", name: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def drain(df: DataFrame, mode: str = "append", name: str | None = None, checkpoint: str | None = None, empty_batches: bool = True) -> DataFrame:
     """All that the stream gives for the input there is now, in micro-batches, with ``_batch`` for its batch.
 
     In append mode windows that the watermark has not passed stay open and are not in the result; complete and update
     mode give a key's rows again in every batch that changes them. Each batch's folder is written once, and replaced if the batch
-    runs again. A given ``checkpoint`` lets a later call go on; a new one starts from the beginning.
+    runs again. A given ``checkpoint`` lets a later call go on; a new one starts from the beginning. Operators on the wall clock ask for
+    another batch for ever: they need ``empty_batches`` False, which leaves out batches without new rows.
     """
     spark = configure(df.sparkSession)
     path = shared_folder(spark)
@@ -43,7 +49,14 @@ def drain(df: DataFrame, mode: str = "append", name: str | None = None, checkpoi
         batch.write.mode("overwrite").parquet(f"{path}/out/_batch={number}")
 
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write)
-    (writer.queryName(name) if name else writer).start().awaitTermination()
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(empty_batches).lower())
+    try:
+        query = (writer.queryName(name) if name else writer).start()  # the query keeps the settings of its start
+    finally:
+        spark.conf.set(setting, before)
+    query.awaitTermination()
     empty = spark.createDataFrame([], schema).withColumn("_batch", F.lit(0))
     try:
         return spark.read.schema(empty.schema).option("basePath", f"{path}/out").parquet(f"{path}/out")

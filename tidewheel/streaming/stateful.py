@@ -1,7 +1,8 @@
 """Stateful operators: a scan over each key's rows with a small state, on streams and in batch, and event-time timers.
 
 A scan calls ``step(state, row)`` for each row of a key in order and gives out what it returns. On a stream
-the state lives in the state store between micro-batches (transformWithState); rows are ordered within a micro-batch. In batch the same
+the state lives in the state store between micro-batches (transformWithState); rows are ordered within a micro-batch. With ``idle_ms``
+a key that has no rows for so long by the wall clock leaves the store; without, it stays for good. In batch the same
 steps run over each key's rows, sorted by the shuffle, in Arrow batches, so a hot key is read as a sequence and not collected.
 """
 
@@ -17,15 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..operators.names import fresh
+
 Step = Callable[[dict, dict], tuple[dict, list[dict]]]
 
 
 class _Scan(StatefulProcessor):
-    def __init__(self, order: list[str], initial: dict, step: Step, names: list[str]):
-        self.order, self.initial, self.step, self.names = order, initial, step, names
+    def __init__(self, order: list[str], initial: dict, step: Step, names: list[str], idle_ms: int | None):
+        self.order, self.initial, self.step, self.names, self.idle_ms = order, initial, step, names, idle_ms
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("scan", "value string")
+        self.state = handle.getValueState("scan", "value string", self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = json.loads(self.state.get()[0]) if self.state.exists() else copy.deepcopy(self.initial)
@@ -40,11 +43,11 @@ class _Scan(StatefulProcessor):
         pass
 
 
-def scan(df: DataFrame, key: str, order: list[str], initial: dict, step: Step, schema: str) -> DataFrame:
-    """``step`` over each key's rows; ``schema`` is that of the rows it gives. The state must be JSON."""
+def scan(df: DataFrame, key: str, order: list[str], initial: dict, step: Step, schema: str, idle_ms: int | None = None) -> DataFrame:
+    """``step`` over each key's rows; ``schema`` is that of the rows it gives. The state must be JSON. ``idle_ms``: see above; streams only."""
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
     if df.isStreaming:
-        return df.groupBy(key).transformWithStateInPandas(_Scan(order, initial, step, names), schema, "Append", "None")
+        return df.groupBy(key).transformWithStateInPandas(_Scan(order, initial, step, names, idle_ms), schema, "Append", "ProcessingTime" if idle_ms else "None")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, now, begun = None, None, False
@@ -65,6 +68,10 @@ def _ms(t) -> int:
     return int(pd.Timestamp(t).value // 1_000_000)
 
 
+def _us(t) -> int:
+    return int(pd.Timestamp(t).as_unit("ns").value // 1_000)
+
+
 def lag_step(key: str, ts: str, value: str) -> Step:
     """Each row with the value before it."""
 
@@ -182,21 +189,22 @@ class _Reorder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "ms long", "row string")
+        self.held = handle.getMapState("held", "us long", "row string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             for row in json.loads(pdf[self.names].to_json(orient="records", date_format="iso", date_unit="us")):
-                now = _ms(row[self.ts])
-                self.held.updateValue((now,), (json.dumps(row),))  # a later row with the same time takes its place
-                self.handle.registerTimer((now // self.interval_ms + 1) * self.interval_ms)
+                now = _us(row[self.ts])
+                if not self.held.containsKey((now,)):  # of rows with one time, the first to arrive stays
+                    self.held.updateValue((now,), (json.dumps(row),))
+                self.handle.registerTimer((now // (1000 * self.interval_ms) + 1) * self.interval_ms)
         yield pd.DataFrame(columns=self.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted((k[0], v[0]) for k, v in self.held.iterator() if k[0] < until)
-        for ms, _ in due:
-            self.held.removeKey((ms,))
+        due = sorted((k[0], v[0]) for k, v in self.held.iterator() if k[0] < 1000 * until)
+        for us, _ in due:
+            self.held.removeKey((us,))
         out = pd.DataFrame([json.loads(r) for _, r in due], columns=self.names)
         if len(out):
             out[self.ts] = pd.to_datetime(out[self.ts])
@@ -206,10 +214,11 @@ class _Reorder(StatefulProcessor):
         pass
 
 
-def reorder(df: DataFrame, key: str, ts: str, interval_ms: int) -> DataFrame:
-    """Rows of each key in order of event time, an interval at a time; of rows with the same time the first by arrival stays in batch.
+def reorder(df: DataFrame, key: str, ts: str, interval_ms: int, arrival: str | None = None) -> DataFrame:
+    """Rows of each key in order of event time (to the microsecond), an interval at a time; of rows with the same time the first to arrive stays.
 
-    On a stream with a watermark an interval is given out when the watermark has passed it.
+    On a stream with a watermark an interval is given out when the watermark has passed it. In batch ``arrival`` names the
+    column that tells the order of arrival, such as an offset; without it the least row by its other columns counts as the first.
     """
     if df.isStreaming:
         names = df.columns
@@ -217,11 +226,73 @@ def reorder(df: DataFrame, key: str, ts: str, interval_ms: int) -> DataFrame:
     from pyspark.sql import Window
 
     millis = F.unix_millis(F.col(ts).cast("timestamp"))
-    once = df.withColumn("_k", F.row_number().over(Window.partitionBy(key, ts).orderBy(*[F.lit(1)]))).filter("_k = 1").drop("_k")
+    came = Window.partitionBy(key, ts).orderBy(*([arrival] if arrival else [c for c in df.columns if c not in (key, ts)] or [ts]))
+    (turn,) = fresh(df, "turn")
+    once = df.withColumn(turn, F.row_number().over(came)).filter(F.col(turn) == 1).drop(turn)
     w = Window.partitionBy(key).orderBy(ts)
     return once.withColumn("interval", F.floor(millis / interval_ms)).withColumn("place", F.row_number().over(w).cast("long"))
 
 
+class _Expire(StatefulProcessor):
+    """Holds the time of each key's last row; a timer gives a tombstone and forgets the key when event time has passed its age."""
+
+    def __init__(self, ts: str, value: str, age_ms: int, names: list[str]):
+        self.ts, self.value, self.age_ms, self.names = ts, value, age_ms, names
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long")
+
+    def _forget(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(self.ts, kind="stable")
+        self._forget()
+        last = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for now, gone in zip(map(_us, pdf[self.ts]), pdf[self.value].isna(), strict=True):
+            if last is not None and now > last + 1000 * self.age_ms:
+                out.append([key[0], pd.Timestamp(last + 1000 * self.age_ms, unit="us")])
+            last = None if gone else now
+        if last is None:
+            self.last.clear()
+        else:
+            self.last.update((last,))
+            self.handle.registerTimer(last // 1000 + self.age_ms + 1)
+        yield pd.DataFrame(out, columns=self.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.last.exists():
+            yield pd.DataFrame(columns=self.names)
+            return
+        last = self.last.get()[0]
+        self.last.clear()
+        yield pd.DataFrame([[key[0], pd.Timestamp(last + 1000 * self.age_ms, unit="us")]], columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def tombstones(df: DataFrame, key: str, ts: str, value: str, age_ms: int) -> DataFrame:
+    """(key, ts) of a tombstone for each time that a key has had no row for ``age_ms`` of event time; a null value removes the key without one.
+
+    On a stream with a watermark the tombstone comes, and the key leaves the store, when the watermark has passed the age. In batch
+    event time is that of the whole table: a key's last row gives one if the latest row of all is past its age.
+    """
+    kind = dict(df.dtypes)
+    if df.isStreaming:
+        return df.groupBy(key).transformWithStateInPandas(_Expire(ts, value, age_ms, [key, ts]), f"`{key}` {kind[key]}, `{ts}` {kind[ts]}", "Append", "EventTime")
+    from pyspark.sql import Window
+
+    due, after, latest = fresh(df, "due", "after", "latest")
+    rows = df.withColumn(due, F.col(ts) + F.expr(f"interval '{age_ms / 1000:.3f}' second")).withColumn(after, F.lead(ts).over(Window.partitionBy(key).orderBy(ts)))
+    end = df.agg(F.max(ts).alias(latest))  # one row
+    ended = rows.join(F.broadcast(end), F.coalesce(F.col(after), F.col(latest)) > F.col(due))
+    return ended.filter(F.col(value).isNotNull()).select(key, F.col(due).alias(ts))
+
+
 class _WallClock(StatefulProcessor):
     """Running totals that a processing-time timer sets to zero."""
 
