@@ -672,6 +672,106 @@ def reorder(t):
     return stateful.reorder(t("events").select("user_id", "event_id", "ts"), "user_id", "ts", 36_000_000).drop("ts")
 
 
+# --- the rest of the surveyed functions and sources --------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 10 MINUTES, ts) - INTERVAL 5 MINUTES * k AS window_start, time_bucket(INTERVAL 10 MINUTES, ts) - INTERVAL 5 MINUTES * k + INTERVAL 10 MINUTES AS window_end, count(*) AS n FROM (SELECT * FROM events, (VALUES (-1), (0), (1)) v(k)) WHERE ts >= time_bucket(INTERVAL 10 MINUTES, ts) - INTERVAL 5 MINUTES * k AND ts < time_bucket(INTERVAL 10 MINUTES, ts) - INTERVAL 5 MINUTES * k + INTERVAL 10 MINUTES GROUP BY ALL")
+def hop_global(t):
+    return W.hopping(t("events"), "ts", "10 minutes", "5 minutes", n=F.count("*"))
+
+
+@query("SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN (SELECT c_custkey AS o_custkey, c_name FROM customer WHERE c_custkey % 3 = 0) c USING (o_custkey)")
+def left_join_table(t):
+    customers = t("customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return J.table_join(t("orders").select("o_orderkey", "o_custkey"), customers, ["o_custkey"], "left").select("o_orderkey", "o_custkey", "c_name")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE 0 END AS code FROM events")
+def case_map(t):
+    return R.mapped(t("events"), "event_type", {"view": 1, "purchase": 2}, "code", 0).select("event_id", "code")
+
+
+@query("SELECT event_id, v IS NULL AS missing FROM (SELECT event_id, CASE WHEN value > 10 THEN value END AS v FROM events)")
+def null_filters(t):
+    e = t("events").select("event_id", F.when(F.col("value") > 10, F.col("value")).alias("v"))
+    return R.known(e, "v").withColumn("missing", F.lit(False)).unionByName(R.unknown(e, "v").withColumn("missing", F.lit(True))).drop("v")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+def computed_column(t):
+    return R.computed(t("lineitem"), net=F.col("l_extendedprice") * (1 - F.col("l_discount"))).select("l_orderkey", "l_linenumber", "net")
+
+
+@query("SELECT event_id, 'events.parquet' AS file FROM events")
+def file_metadata(t):
+    return readers.with_file_metadata(t("events")).select("event_id", F.regexp_extract("file_path", "(events.parquet)", 1).alias("file"))
+
+
+@query("SELECT event_id, (event_id - 500)::INTEGER AS small, (event_id * -3000000000)::BIGINT AS large FROM events")
+def keys_from_bytes(t):
+    raw = lambda c, n: F.unhex(F.substring(F.lpad(F.hex(c.cast("long")), 16, "0"), 17 - 2 * n, 2 * n))
+    small, large = F.col("event_id") - 500, F.col("event_id") * F.lit(-3_000_000_000)
+    return t("events").select("event_id", readers.integer_from_bytes(raw(small, 4), 4).alias("small"), readers.integer_from_bytes(raw(large, 8), 8).alias("large"))
+
+
+@query("SELECT event_id, event_type, CASE WHEN event_type = 'purchase' THEN value END AS amount, CASE WHEN event_type = 'view' THEN user_id END AS viewer FROM events WHERE event_type IN ('purchase', 'view')")
+def mixed_types(t):
+    e = t("events").withColumns({"bought": F.when(F.col("event_type") == "purchase", F.struct("value")), "seen": F.when(F.col("event_type") == "view", F.struct("user_id"))})
+    parts = readers.variants(e, "event_type", {"purchase": ["event_id", "event_type", "bought.value"], "view": ["event_id", "event_type", "seen.user_id"]})
+    bought = parts["purchase"].withColumnRenamed("value", "amount").withColumn("viewer", F.lit(None).cast("long"))
+    return bought.unionByName(parts["view"].withColumnRenamed("user_id", "viewer").withColumn("amount", F.lit(None).cast("double")))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'dead' WHEN value > 20 THEN 'high' ELSE 'low' END AS route FROM events")
+def dead_or_routed(t):
+    raw = F.when(F.col("event_id") % 9 == 0, F.unhex(F.lit("01"))).otherwise(F.unhex(F.lpad(F.hex("event_id"), 8, "0")))
+    good, dead = sinks.dead_letters(t("events").select("event_id", "value", readers.integer_from_bytes(raw, 4).alias("key")), {"key": F.col("key").isNotNull()})
+    return R.branch(good, [("high", F.col("value") > 20)], "low", "route").select("event_id", "route").unionByName(dead.select("event_id", F.lit("dead").alias("route")))
+
+
+@query("""SELECT event_id, date_trunc('second', ts) AS parsed, TIMESTAMP '1970-01-01 00:00:00' AS failed, make_timestamp(event_id * 1000) AS by_millis, (epoch_us(ts) // 1000000)::BIGINT AS seconds,
+make_timestamp(event_id * 1000000) AS epoch_0, make_timestamp(event_id * 1000) AS epoch_3, strftime(ts - INTERVAL 5 HOURS, '%H:%M') AS eastern, ((epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-01 00:00:00') // 1000) // 60000)::BIGINT AS minutes,
+year(ts)::BIGINT AS y, minute(ts)::BIGINT AS m FROM events""")
+def more_time_functions(t):
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    plain = lambda c: c.cast("timestamp_ntz")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return t("events").select(
+        "event_id",
+        plain(S.parse_timestamp(text, "yyyy-MM-dd HH:mm:ss")).alias("parsed"),
+        plain(S.parse_timestamp(F.lit("no time"), "yyyy-MM-dd HH:mm:ss", "epoch")).alias("failed"),
+        plain(S.from_millis(F.col("event_id"))).alias("by_millis"),
+        S.to_seconds(text, "yyyy-MM-dd HH:mm:ss").alias("seconds"),
+        plain(S.epoch(F.col("event_id"), 0)).alias("epoch_0"),
+        plain(S.epoch(F.col("event_id"), 3)).alias("epoch_3"),
+        S.format_time(F.col("ts").cast("timestamp"), "HH:mm", "America/New_York").alias("eastern"),
+        S.minutes_between_ms(start, F.col("ts")).alias("minutes"),
+        S.time_part(F.col("ts"), "YEAR").cast("long").alias("y"),
+        S.time_part(F.col("ts"), "MINUTE").cast("long").alias("m"),
+    )
+
+
+@query("""SELECT p_partkey, '{"id":' || p_partkey || ',"brand":"' || p_brand || '"}' AS json, p_name AS decoded, printf('%05d|%s', p_partkey, p_brand) AS line, (p_partkey + p_size)::INTEGER AS total FROM part""")
+def more_text_functions(t):
+    p = t("part")
+    S.register(p.sparkSession)
+    return p.select(
+        "p_partkey",
+        S.json_object(id=F.col("p_partkey"), brand=F.col("p_brand")).alias("json"),
+        S.decode_base64(F.base64(F.col("p_name").cast("binary"))).alias("decoded"),
+        S.formatted("%05d|%s", F.col("p_partkey"), F.col("p_brand")).alias("line"),
+        F.expr("sum_integers(cast(p_partkey as int), cast(p_size as int))").alias("total"),
+    )
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 5 <> 0")
+def upsert_source(t):
+    c = t("customer").select("c_custkey", "c_name")
+    changes = c.select("c_custkey", F.lit("old").alias("c_name"), F.lit(1).alias("offset"), F.lit(False).alias("gone"))
+    changes = changes.unionByName(c.select("c_custkey", "c_name", F.lit(2).alias("offset"), (F.col("c_custkey") % 5 == 0).alias("gone")))
+    return readers.upserted(changes, ["c_custkey"], ["offset"], F.col("gone")).select("c_custkey", "c_name")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return _queries["tumble_6h"](spark, "/root/testdata/sf0.001")
 

@@ -66,7 +66,7 @@ def with_key_fields(df: DataFrame, key: str, value: str, key_names: Sequence[str
 def integer_from_bytes(data: Column, size: int) -> Column:
     """A big-endian signed number of 4 or 8 bytes; null for any other length."""
     raw = F.conv(F.hex(data), 16, 10).cast("decimal(20,0)")
-    half = F.lit(2 ** (8 * size - 1)).cast("decimal(20,0)")
+    half = F.lit(str(2 ** (8 * size - 1))).cast("decimal(20,0)")
     signed = F.when(raw >= half, raw - half - half).otherwise(raw)
     return F.when(F.octet_length(data) == size, signed.cast("int" if size == 4 else "long"))
 
