@@ -56,7 +56,7 @@ def test_pattern_goldens(readings):
 
 def test_hot_keys_are_not_collected(spark):
     rng = random.Random(4)
-    # A key of one monotone stretch after another: all its rows reach the scan, in several Arrow batches.
+    # A key of one monotone stretch after another.
     rows = [(1, i, float(abs(i % 14 - 7))) for i in range(30_000)] + [(2, i, float(rng.randrange(6))) for i in range(500)]
     df = spark.createDataFrame(rows, "k int, i int, v double")
     want = []
@@ -66,7 +66,7 @@ def test_hot_keys_are_not_collected(spark):
     got = patterns.same_direction(df, "k", ["i"], "v", 4)
     assert values(got) == sorted(want)
     plan = got._jdf.queryExecution().toString()
-    assert "FlatMapGroups" not in plan and "MapInPandas" in plan
+    assert "InPandas" not in plan and "Python" not in plan
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "gone"), (1, 3, "a"), (1, 4, None), (2, 5, "a"), (2, 6, "gone")], "k int, i long, what string")
     got = relational.totals_since_delete(df, "k", "i", "i", F.col("what") == "gone", "n", "ids")
     assert values(got, "k", "n", "ids") == [(1, 2, 7)] and "collect_list" not in got._jdf.queryExecution().toString()
@@ -77,12 +77,13 @@ def test_patterns_like_brute_force(spark):
     rows = [(i % 3, i, float(rng.randrange(6))) for i in range(600)]
     df = spark.createDataFrame(rows, "k int, i int, v double")
     by = {k: [(i, v) for kk, i, v in rows if kk == k] for k in range(3)}
-    want = []
-    for k, own in by.items():
-        for a, b in patterns.scan_same_direction([v for _, v in own], 3):
-            want.append((k, own[a][0], own[a][1], own[b][0], own[b][1]))
-    got = patterns.same_direction(df, "k", ["i"], "v", 3)
-    assert values(got) == sorted(want)
+    for n in (2, 3, 4, 5):
+        want = []
+        for k, own in by.items():
+            for a, b in patterns.scan_same_direction([v for _, v in own], n):
+                want.append((k, own[a][0], own[a][1], own[b][0], own[b][1]))
+        got = patterns.same_direction(df, "k", ["i"], "v", n)
+        assert values(got) == sorted(want)
     want = []
     for k, own in by.items():
         n = 0
@@ -174,3 +175,28 @@ def test_sliding_windows_like_brute_force(spark):
     starts = {x for _, t, _ in rows for x in (t - 500, t + 1)}
     want = [("d", s, len(own)) for s in starts if (own := [v for _, t, v in rows if s <= t <= s + 500])]
     assert values(got, "d", "window_start", "n") == sorted(want)
+
+
+def test_leader_at_ticks_golden(spark):
+    """Five logins, two seconds apart, and a tick each five seconds: at each the user with the largest total so far."""
+    from tidewheel.operators import analytic
+
+    logins = [(u, 2000 * i, 5) for i, u in enumerate(["user-1", "user-2", "user-1", "user-3", "user-2"])]
+    got = analytic.leader_at_ticks(spark.createDataFrame(logins, "user string, t long, spent int"), "user", "t", "spent", 5000)
+    assert values(got) == [(5000, "user-1", 10)]
+    more = logins + [("user-2", 11_000, 5), ("user-0", 30_000, 15), ("user-9", 36_000, 1)]
+    got = analytic.leader_at_ticks(spark.createDataFrame(more, "user string, t long, spent int"), "user", "t", "spent", 5000)
+    assert values(got) == [(5000, "user-1", 10), (10_000, "user-1", 10), (15_000, "user-2", 15), (35_000, "user-0", 15)]
+
+
+def test_frames_of_an_interval_like_brute_force(spark):
+    import datetime as dt
+
+    from tidewheel.operators import analytic
+
+    rng = random.Random(8)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(rng.randrange(2), base + dt.timedelta(milliseconds=rng.randrange(200_000)), i, 1) for i in range(400)] + [(0, None, 900, 1), (0, None, 901, 1)]
+    got = analytic.count_over_range(spark.createDataFrame(rows, "k int, ts timestamp_ntz, i int, range int"), "k", "ts", 3_000_000).select("i", "n").collect()
+    near = lambda a, b: (a is None and b is None) or (a is not None and b is not None and dt.timedelta(0) <= a - b <= dt.timedelta(seconds=3))
+    assert sorted(map(tuple, got)) == sorted((i, sum(kk == k and near(ts, other) for kk, other, *_ in rows)) for k, ts, i, _ in rows)
