@@ -432,7 +432,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     rest = other.select(_group(F.col("most"), F.least("_block", "_other"), F.greatest("_block", "_other")).alias("g"), "_key", F.col("root").alias("part"))
     more = stash(verify(rest, sets))
 
-    final = components(links.unionByName(more))
+    # The stars of the first components stand for their links, so that only what is new takes rounds.
+    final = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     # Components by class; the result is the smallest doc_id of all classes of a component.
     rooted = info.select("_key", "rep").join(final.withColumnRenamed("node", "_key"), "_key", "left").select("_key", "rep", F.coalesce("root", "_key").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
