@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard_join, licences, line_quality, pii, piece_codec, repeats, source_mix, toxicity, warc
+from . import fingerprint, jaccard_join, licences, line_quality, merkle, pii, piece_codec, repeats, source_mix, toxicity, warc
 from .shared import shared_folder, small_batches, table
 
 
@@ -65,6 +65,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of ``documents``, a row for each of them, with its proof checked against the root."""
+    small_batches(spark)
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,8 +78,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_warc, op3_jaccard_join, op4_line_quality, op5_toxicity, op6_licences, op7_repeats, op8_fingerprint, op9_source_mix, op10_sentencepiece, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_warc, op3_jaccard_join, op4_line_quality, op5_toxicity, op6_licences, op7_repeats, op8_fingerprint, op9_source_mix, op10_sentencepiece, op12_merkle, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE, "op4_line_quality": line_quality.ORACLE, "op9_source_mix": source_mix.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op4_line_quality": line_quality.ORACLE, "op9_source_mix": source_mix.ORACLE, "op12_merkle": merkle.oracle()}
