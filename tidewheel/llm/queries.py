@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard_join, licences, line_quality, merkle, pii, piece_codec, repeats, source_mix, toxicity, warc
+from . import fingerprint, jaccard_join, licences, line_quality, merkle, packing, pii, piece_codec, repeats, source_mix, toxicity, trie, warc
 from .shared import shared_folder, small_batches, table
 
 
@@ -65,12 +65,31 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt ``conversations``, a row a node."""
+    small_batches(spark)
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of ``documents``, a row for each of them, with its proof checked against the root."""
     small_batches(spark)
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
+def word_tokenizer() -> str:
+    """Path of the tokenizer file that the contract names."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of 4096, each with the mixture of sources of the whole table."""
+    small_batches(spark)
+    return packing.digests(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,8 +97,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_warc, op3_jaccard_join, op4_line_quality, op5_toxicity, op6_licences, op7_repeats, op8_fingerprint, op9_source_mix, op10_sentencepiece, op12_merkle, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_warc, op3_jaccard_join, op4_line_quality, op5_toxicity, op6_licences, op7_repeats, op8_fingerprint, op9_source_mix, op10_sentencepiece, op11_trie, op12_merkle, op13_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE, "op4_line_quality": line_quality.ORACLE, "op9_source_mix": source_mix.ORACLE, "op12_merkle": merkle.oracle()}
+    return {"op2_warc": warc.ORACLE, "op4_line_quality": line_quality.ORACLE, "op9_source_mix": source_mix.ORACLE, "op11_trie": trie.ORACLE, "op12_merkle": merkle.oracle()}
