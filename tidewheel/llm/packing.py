@@ -85,6 +85,16 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+#: One encoder a worker process and file: what a task has remembered serves the next.
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class _Pattern:
     """A pattern, with the characters around which it splits as the library does."""
 
@@ -173,7 +183,7 @@ def queued(docs: DataFrame, tokenizer: str, end: int, others: list[str]) -> Data
     dealt = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, encoder, at, now = TaskContext.get().partitionId(), Encoder(tokenizer), 0, None
+        task, encoder, at, now = TaskContext.get().partitionId(), encoder_of(tokenizer), 0, None
         stop = np.array([end], "<u4").tobytes()
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
