@@ -204,7 +204,8 @@ def queued(docs: DataFrame, tokenizer: str, end: int, others: list[str]) -> Data
     before = Window.partitionBy("_known", "_queue").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     sums = held.groupBy("_known", "_queue", "_task").agg(F.sum("_n").alias("_sum"))
     starts = sums.select("_known", "_queue", "_task", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    return held.join(starts, ["_known", "_queue", "_task"]).withColumn("_first", F.col("_first") + F.col("_before")).drop("_task", "_before")
+    # A row for each task and each queue that begins in it: at most the tasks and QUEUES more.
+    return held.join(F.broadcast(starts), ["_known", "_queue", "_task"]).withColumn("_first", F.col("_first") + F.col("_before")).drop("_task", "_before")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, chunk: int = CHUNK, targets: dict[str | None, float] | None = None) -> DataFrame:
