@@ -17,6 +17,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,10 @@ CHUNK = 64
 UNIT = 1 << 16
 #: Queues at most; of more sources several share one.
 QUEUES = 1024
-#: Words whose ids a worker remembers (they are in two tables of this size).
-REMEMBERED = 300_000
+#: The one letter whose lower case depends on its place, in one library and not in the other.
+FINAL_SIGMA = "\u03a3"
+#: Stretches between blanks whose ids a worker remembers (in two tables of this size), and twice the words.
+REMEMBERED = 500_000
 
 
 class Encoder:
@@ -46,7 +50,8 @@ class Encoder:
 
     Splitting at a pattern and encoding the words one by one gives the same ids as the library's whole pass if the
     file's steps are those named in ``STEPS`` and the pattern sees each character as the library does, which is asked once a
-    character. Words that come again are then not encoded again. All else goes through the library's whole pass.
+    character. As no word goes over a blank, text is split at blanks first, and stretches and words that come again are not
+    encoded again. All else goes through the library's whole pass.
     """
 
     STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
@@ -61,55 +66,74 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         normal, split = ((told.get(a) or {}).get(b) or [] for a, b in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        self.words = Recent(self._word, REMEMBERED // 2)
+        self.cased: set[str] = set()
+        self.uncased: set[str] = set()
         self.patterns = []
         if ([s["type"] for s in normal], [s["type"] for s in split]) == self.STEPS and split[0]["invert"] and told["model"]["type"] == "BPE":
             pattern = plain = split[0]["pattern"]["Regex"]
             for theirs, ours in self.PLAIN.items():
                 plain = plain.replace(theirs, ours)
-            self.patterns = [_Pattern(regex.compile(pattern), self.library)]
+            self.patterns = [_Pattern(regex.compile(pattern), self.library, self.words)]
             if r"\p" not in plain:
-                self.patterns.insert(0, _Pattern(re.compile(plain), self.library))
+                self.patterns.insert(0, _Pattern(re.compile(plain), self.library, self.words))
         self.special = [t["content"] for t in told.get("added_tokens") or []]
-        self.words = Recent(self._word, REMEMBERED)
 
     def _word(self, word: str) -> bytes:
-        own = self.library
-        return np.array([t.id for part, _ in own.pre_tokenizer.pre_tokenize_str(word) for t in own.model.tokenize(part)], "<u4").tobytes()
+        mapped = word if word.isascii() and word.isprintable() else "".join([m for m, _ in self.library.pre_tokenizer.pre_tokenize_str(word)])
+        return array("I", [t.id for t in self.library.model.tokenize(mapped)]).tobytes()
+
+    def _lowered(self, text: str) -> str:
+        """The text as the library's normalizer has it, but for white space. Composed text of characters that Python lowers alike needs no library."""
+        if text.isascii():
+            return text.lower()
+        own = set(text)
+        for c in own.difference(self.cased):
+            self.cased.add(c)
+            low = self.library.normalizer.normalize_str(c)
+            if c == FINAL_SIGMA or (low != c.lower() and not (low.isspace() and c.isspace())):
+                self.uncased.add(c)
+        plain = self.uncased.isdisjoint(own) and unicodedata.is_normalized("NFC", text)
+        return text.lower() if plain else self.library.normalizer.normalize_str(text)
 
     def encode(self, text: str) -> bytes:
         if self.patterns and not any(s in text for s in self.special):
-            plain = text.lower() if text.isascii() else self.library.normalizer.normalize_str(text)
+            plain = self._lowered(text)
+            own = set(plain)
             for pattern in self.patterns:
-                if pattern.serves(plain):
-                    return b"".join(map(self.words.__getitem__, pattern.findall(plain)))
+                if pattern.serves(own):
+                    return b"".join(map(pattern.chunks.__getitem__, plain.split()))
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-#: One encoder a worker process and file: what a task has remembered serves the next.
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_of(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 class _Pattern:
-    """A pattern, with the characters around which it splits as the library does."""
+    """A pattern, with the characters around which it splits as the library does, and the ids of what stands between blanks."""
 
-    def __init__(self, pattern, library):
-        self.pattern, self.library, self.findall = pattern, library, pattern.findall
+    def __init__(self, pattern, library, words: Recent):
+        self.pattern, self.library = pattern, library
+        self.chunks = Recent(lambda chunk: b"".join(map(words.__getitem__, pattern.findall(chunk))), REMEMBERED)
         self.known: set[str] = set()
         self.refused: set[str] = set()
 
-    def serves(self, text: str) -> bool:
-        for c in set(text).difference(self.known):
+    def serves(self, characters: set[str]) -> bool:
+        for c in characters.difference(self.known):
             self.known.add(c)
             probe = f"a{c}{c}1{c}"
-            if [m.span() for m in self.pattern.finditer(probe)] != [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(probe)]:
+            spans = [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(probe)]
+            blank = all(e <= 1 or s >= 3 for s, e in spans)
+            if [m.span() for m in self.pattern.finditer(probe)] != spans or c.isspace() != blank:
                 self.refused.add(c)
-        return self.refused.isdisjoint(text)
+        return self.refused.isdisjoint(characters)
+
+
+#: One encoder a worker process and file: what a task has remembered serves the next.
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class Rounds:
