@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 from tidewheel.llm import pii
@@ -125,8 +126,42 @@ def test_candidates_beside_base_spans_and_long_context():
     assert [text[s:e].count(" ") for s, e in pii.candidates(text, [])] == [7] * 5
     long = "x" * 100_000
     text = f"{long}1 {long} 55-12345 {long}"
-    assert all(len(w) <= pii.LONGEST for w in pii._words_around(text, text.index("55-"), text.index("55-") + 8))
-    assert pii._words_around("a" + " " * 5000 + "b 12345", 5003, 5008)[:2] == ("a", "b")
+    context = pii._Context(text)
+    at = text.index("55-")
+    assert [len(w) for w in context.before(at, 3)] == [64, 64] and len(context.after(at + 8)) == 64
+    assert pii._Context("a" + " " * 5000 + "b 12345").before(5003, 3) == ["a", "b"]
+    context = pii._Context('my token = "abc12345", so')
+    assert context.before(12, 3) == ["token", "=", '"'] and context.after(20) == '"' and context.after(22) == "so" and context.after(25) == "" and context.before(0, 3) == []
+    assert pii.patterns(context, 12, 20) == ['token = " _', '= " _', '" _ "']
+
+
+def test_text_without_blanks_takes_linear_time():
+    for unit in ("+4915112345678,", "a@b.co,", "token=abcdefgh,", '{"n":12345},'):
+        took = []
+        for n in (1 << 18, 1 << 20):
+            text = unit * (n // len(unit))
+            began = time.process_time()
+            spans = pii.base_spans(text)
+            known = sorted(spans + pii.secret_spans(text, spans))
+            context = pii._Context(text)
+            for s, _, e in known:
+                pii.patterns(context, s, e)
+            for s, e in pii.candidates(text, known):
+                pii.patterns(context, s, e)
+            took.append(time.process_time() - began)
+        assert took[1] < 5 and took[1] < 8 * took[0] + 0.5
+
+
+def test_secrets_are_found_and_lead_to_others(spark):
+    rng = random.Random(13)
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'In file {"xyz"[i % 3]} set token = "{hexes()}" and go', 1, 1) for i in range(60)]
+    rows += [(100 + i, f'In file {"xyz"[i % 3]} set passphrase1 = "{hexes()}" and go', 1, 1) for i in range(5)]
+    rows += [(200, "the token of 12345678 is not = 7 tokens: none", 1, 1), (201, "mail token=a@bcdefg.org now", 1, 1), (202, "key: 5, token:", 1, 1)]
+    got = {r.doc_id: r for r in pii.digests(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].spans == f"secret:{rows[i][1].index(chr(34)) + 1}:{rows[i][1].index(chr(34)) + 41}" and got[i].n_spans == 1 for i in range(60))
+    assert all(got[100 + i].spans.startswith("secret:") for i in range(5))
+    assert got[200].spans == "" and got[201].spans == "email:11:23" and got[202].n_spans == 0
 
 
 def test_empty_and_redact(spark):

@@ -1,24 +1,26 @@
-"""Personal data: base patterns, and bootstrapped contextual extraction of what they miss.
+"""Personal data and secrets: base patterns, and bootstrapped contextual extraction of what they miss.
 
-One pass over the texts finds the base entities (email, ip, card, phone) and, beside them, candidates:
-runs of tokens with digits or an at sign that are no base entity. Entities and candidates alike are
-instances that stand in lexical patterns: the two words before, and the word before with the word after.
+One pass over the texts finds the base entities (email, ip, card, phone), values assigned to a name that tells a secret, and beside them candidates:
+runs of tokens with digits or an at sign that are none of these. All alike are instances that stand in lexical patterns:
+the three words before, the two words before, and the word before with the word after.
 
-The base entities are seeds. Spark then scores the graph of patterns and instances in a few rounds. A
+Entities and secrets are seeds. Spark then scores the graph of patterns and instances in a few rounds. A
 pattern's confidence for a kind is the mean score of its distinct instances, damped by one; it must hold
 ``min_support`` known instances of the kind. A candidate's score is one minus the product of (1 - confidence) over its
 accepted patterns, so candidates that reach ``min_score`` count as known in the next round and induce new
-patterns. All their occurrences become spans of that kind. Base spans always stay. Scores are rounded before they are compared, so
-the order of sums decides nothing.
+patterns. All their occurrences become spans of that kind. Base spans always stay; secrets are spans that the method adds. Scores are rounded
+before they are compared, so the order of sums decides nothing.
 
-A context word or an instance of more than ``LONGEST`` characters is named by its beginning and a digest, so keys have a bounded size. A run
-of candidate tokens is cut at base spans and after each ``TOKENS`` tokens.
+An instance of more than ``LONGEST`` characters is named by its beginning and a digest, and of a longer context word the nearest ``LONGEST``
+characters count, so keys have a bounded size. A run of candidate tokens is cut at known spans and after each ``TOKENS`` tokens. A text's words are
+found once, so work is linear in the text also where it has no blanks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +31,9 @@ from .shared import stash
 
 #: Fixed values, in the contract's order.
 KINDS = ("email", "ip", "card", "phone")
+#: A kind that the contract's list does not have; its spans are added ones.
+SECRET = 4
+NAMES = (*KINDS, "secret")
 ROUNDS = 3
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.7
@@ -41,6 +46,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){13,}+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_SECRET = re.compile(r"(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([^\s\"',;<>]{8,128})")
+_DIGIT = re.compile("[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _BLANK = re.compile(r"\s")
 _WORD = re.compile(r"\S+")
@@ -84,27 +91,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def secret_spans(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Values that are assigned to a name that tells a secret, as spans like ``base_spans`` gives; none that meets one of ``spans``."""
+    out, k = [], 0
+    for m in _SECRET.finditer(text):
+        start, end = m.span(1)
+        while k < len(spans) and spans[k][2] <= start:
+            k += 1
+        if not any(s < end and e > start for s, _, e in spans[k : k + 4]):
+            out.append((start, SECRET, end))
+    return out
+
+
 def _named(text: str) -> str:
     """The text itself, or for a long one its beginning and a digest."""
     return text if len(text) <= LONGEST else f"{text[:16]}~{hashlib.md5(text.encode('utf-8', 'surrogatepass')).hexdigest()}"
 
 
-def _words_before(text: str, start: int) -> list[str]:
-    """The two words before a place, or as many as there are; the stretch that is read grows until both are whole."""
-    size = 80
-    while True:
-        left = text[max(0, start - size) : start]
-        words = _WORD.findall(left)
-        if size >= start or len(words) > 2 or (len(words) == 2 and left[0].isspace()):
-            return words[-2:]
-        size *= 4
+class _Context:
+    """The words of a text, found once, for the words around any place of it. Of a word longer than ``LONGEST`` characters the nearest ones count."""
+
+    def __init__(self, text: str):
+        self.text = text
+        bounds = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [s for s, _ in bounds], [e for _, e in bounds]
+
+    def before(self, start: int, n: int) -> list[str]:
+        """The ``n`` words before a place, nearest last, fewer at the text's start; the first may be the part of a word that ends there."""
+        i, out = bisect_left(self.starts, start) - 1, []
+        while i >= 0 and len(out) < n:
+            end = min(self.ends[i], start)
+            out.append(_plain(self.text[max(self.starts[i], end - LONGEST) : end]))
+            i -= 1
+        return out[::-1]
+
+    def after(self, end: int) -> str:
+        i = bisect_right(self.ends, end)
+        if i == len(self.ends):
+            return ""
+        start = max(self.starts[i], end)
+        return _plain(self.text[start : min(self.ends[i], start + LONGEST)].rstrip(".,;:!?"))
+
+
+def _plain(word: str) -> str:
+    return _DIGIT.sub("0", word.lower())
 
 
-def _words_around(text: str, start: int, end: int) -> tuple[str, str, str]:
-    plain = lambda w: _named(re.sub("[0-9]", "0", w.lower()))
-    before2, before1 = (["", "", *map(plain, _words_before(text, start))])[-2:]
-    right = _WORD.search(text, end)
-    return before2, before1, plain(right[0].rstrip(".,;:!?")) if right else ""
+def patterns(context: _Context, start: int, end: int) -> list[str]:
+    """The lexical patterns that an instance stands in: three words before, two, and the word before with the word after."""
+    words, after = context.before(start, 3), context.after(end)
+    out = [" ".join([*words[-n:], "_"]) for n in (3, 2) if len(words) >= n]
+    return out + ([f"{words[-1]} _ {after}"] if words and after else [])
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -159,15 +196,12 @@ def find(docs: DataFrame) -> DataFrame:
             for text in batch.column(3).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
-                own = []
-                places = [(s, e, k) for s, k, e in spans]
-                if spans or _MARK.search(text):
-                    places += [(s, e, -1) for s, e in candidates(text, spans)]
-                for s, e, k in places:
-                    before2, before1, after = _words_around(text, s, e)
-                    patterns = [f"{before2} {before1} _"] if before2 else []
-                    patterns += [f"{before1} _ {after}"] if before1 and after else []
-                    own.append({"start": s, "end": e, "kind": k, "instance": _named(text[s:e].lower()), "patterns": patterns})
+                known = sorted(spans + secret_spans(text, spans))
+                places = [(s, e, k) for s, k, e in known]
+                if known or _MARK.search(text):
+                    places += [(s, e, -1) for s, e in candidates(text, known)]
+                context = _Context(text) if places else None
+                own = [{"start": s, "end": e, "kind": k, "instance": _named(text[s:e].lower()), "patterns": patterns(context, s, e)} for s, e, k in places]
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                 seen.append(own)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(base, span), pa.array(seen, seen_type)], names=["_id", "_same", "doc_id", "base", "seen"])
@@ -214,9 +248,11 @@ def extract(docs: DataFrame, **how) -> DataFrame:
     """
     found = find(docs)
     new = bootstrap(found, **how)
-    places = found.select("_id", "_same", F.explode("seen").alias("s")).filter("s.kind < 0").select("_id", "_same", "s.start", "s.end", "s.instance")
+    places = found.select("_id", "_same", F.explode("seen").alias("s")).select("_id", "_same", "s.start", "s.end", "s.instance", "s.kind")
+    own = ["_id", "_same", "start", "kind", "end"]
     more = (
-        places.join(new, "instance")
+        places.filter("kind < 0").drop("kind").join(new, "instance").select(*own)
+        .unionByName(places.filter(f"kind = {SECRET}").select(*own))
         .groupBy("_id", "_same")
         .agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
     )
@@ -226,14 +262,14 @@ def extract(docs: DataFrame, **how) -> DataFrame:
 
 def listed(spans: Column) -> Column:
     """Spans as text: kind:start:end, comma-joined."""
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, NAMES))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, counts and digest of the base spans, and all spans as text, of each row; a null text is empty, repeated rows get the same result."""
+    """doc_id, counts and digest of the base spans, and the number and text of all spans, of each row; a null text is empty, repeated rows get the same result."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return extract(docs).select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return extract(docs).select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -244,6 +280,6 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
         while k + 1 < len(spans) and spans[k + 1][0] < end:
             k += 1
             end = max(end, spans[k][2])
-        out += [text[at:start], f"<{KINDS[kind].upper()}>"]
+        out += [text[at:start], f"<{NAMES[kind].upper()}>"]
         at, k = end, k + 1
     return "".join(out) + text[at:]
