@@ -18,8 +18,9 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, n
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Each key's first row, by one aggregate that combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
-    out = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
-    return out.select(*keys, *[F.col("_first")[c].alias(c) for c in rest]).select(*df.columns)
+    (first,) = fresh(df, "first")
+    out = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias(first))
+    return out.select(*keys, *[F.col(first)[c].alias(c) for c in rest]).select(*df.columns)
 
 
 def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str) -> DataFrame:
@@ -63,12 +64,13 @@ def average_over_rows(df: DataFrame, order: Sequence[str], column: str, precedin
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = order[0]
+    at, range_, place, halo_ = fresh(df, "at", "range", "place", "halo")
     number = F.unix_micros(F.col(first).cast("timestamp")) if dict(df.dtypes)[first].startswith("timestamp") else F.col(first)
-    rows = df.withColumn("_at", number.cast("double"))
-    limits = sorted(set(rows.agg(F.percentile_approx("_at", [k / n for k in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
-    own = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x < F.col("_at"))) if limits else F.lit(0)
-    ranged = rows.withColumn("_range", own)
-    sizes = dict(ranged.groupBy("_range").count().collect())  # one row a range
+    rows = df.withColumn(at, number.cast("double"))
+    limits = sorted(set(rows.agg(F.percentile_approx(at, [k / n for k in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
+    own = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x < F.col(at))) if limits else F.lit(0)
+    ranged = rows.withColumn(range_, own)
+    sizes = dict(ranged.groupBy(range_).count().collect())  # one row a range
     merged, target, held = {}, 0, 0
     for r in sorted(sizes):
         merged[r] = target
@@ -78,12 +80,12 @@ def average_over_rows(df: DataFrame, order: Sequence[str], column: str, precedin
     if held and target:  # the last range is too small to be one
         merged = {r: min(t, target - 1) for r, t in merged.items()}
     to = F.create_map(*[F.lit(x) for kv in merged.items() for x in kv]) if merged else None
-    ranged = ranged.withColumn("_range", to[F.col("_range")] if to is not None else F.lit(0))
-    back = F.row_number().over(Window.partitionBy("_range").orderBy(*[F.desc(c) for c in order]))
-    halo = ranged.withColumn("_k", back).filter(F.col("_k") <= preceding).drop("_k").withColumn("_range", F.col("_range") + 1).withColumn("_halo", F.lit(True))
-    both = ranged.withColumn("_halo", F.lit(False)).unionByName(halo)
-    frame = Window.partitionBy("_range").orderBy(*order).rowsBetween(-preceding, 0)
-    return both.withColumn(name, F.round(F.avg(column).over(frame), digits)).filter(~F.col("_halo")).drop("_at", "_range", "_halo")
+    ranged = ranged.withColumn(range_, to[F.col(range_)] if to is not None else F.lit(0))
+    back = F.row_number().over(Window.partitionBy(range_).orderBy(*[F.desc(c) for c in order]))
+    halo = ranged.withColumn(place, back).filter(F.col(place) <= preceding).drop(place).withColumn(range_, F.col(range_) + 1).withColumn(halo_, F.lit(True))
+    both = ranged.withColumn(halo_, F.lit(False)).unionByName(halo)
+    frame = Window.partitionBy(range_).orderBy(*order).rowsBetween(-preceding, 0)
+    return both.withColumn(name, F.round(F.avg(column).over(frame), digits)).filter(~F.col(halo_)).drop(at, range_, halo_)
 
 
 def trailing_median(df: DataFrame, key: str, order: Sequence[str], column: str, n: int, name: str = "median") -> DataFrame:

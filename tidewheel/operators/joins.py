@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 from .names import fresh
 
-#: Rows up to which a static side is broadcast.
-SMALL = 100_000
+#: Rows, and bytes as text, up to which a static side is broadcast.
+SMALL, SMALL_BYTES = 100_000, 32 << 20
 
 
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, which is counted (up to that many) first; else as it is."""
+def small(df: DataFrame, most: int = SMALL, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows (counted up to that many) of ``most_bytes`` in all, written as JSON; else as it is."""
     if df.isStreaming:
         return df
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    size = df.limit(most + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return F.broadcast(df) if size.n <= most and (size.bytes or 0) <= most_bytes else df
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], left_ts: str, right_ts: str, lower: str, upper: str, bucket_seconds: int | None = None) -> DataFrame:
@@ -37,11 +38,12 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, s
     within = (F.col(right_ts) >= ts + F.expr(f"interval {lower}")) & (F.col(right_ts) <= ts + F.expr(f"interval {upper}"))
     if bucket_seconds:
         bucket = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / bucket_seconds)
-        a = a.withColumn("_b", F.explode(F.sequence(bucket(ts + F.expr(f"interval {lower}")), bucket(ts + F.expr(f"interval {upper}")))))
-        right = right.withColumn("_c", bucket(F.col(right_ts)))
-        on.append(F.col("_b") == F.col("_c"))
+        b, c = fresh((*a.columns, *right.columns), "b", "c")
+        a = a.withColumn(b, F.explode(F.sequence(bucket(ts + F.expr(f"interval {lower}")), bucket(ts + F.expr(f"interval {upper}")))))
+        right = right.withColumn(c, bucket(F.col(right_ts)))
+        on.append(F.col(b) == F.col(c))
     joined = a.join(right, [*on, within])
-    return joined.drop("_b", "_c") if bucket_seconds else joined
+    return joined.drop(b, c) if bucket_seconds else joined
 
 
 def symmetric_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], left_ts: str, right_ts: str, within: str, **how) -> DataFrame:
@@ -133,8 +135,9 @@ def lateral(df: DataFrame, function, schema) -> DataFrame:
 
 def with_own_count(df: DataFrame, key: str, order: Sequence[str], ts_ms: str, within_ms: int) -> DataFrame:
     """A stream joined with its own running count: each row meets the counts of its key emitted at most ``within_ms`` before or after it."""
-    counts = df.select(F.col(key).alias("_k"), F.col(ts_ms).alias("_t"), F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long").alias("count"))
+    k, t, b, c = fresh(df, "k", "t", "b", "c")
+    counts = df.select(F.col(key).alias(k), F.col(ts_ms).alias(t), F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long").alias("count"))
     span = within_ms + 1
-    near = df.withColumn("_b", F.explode(F.array(*[F.floor(F.col(ts_ms) / span) + d for d in (-1, 0, 1)])))
-    counts = counts.withColumn("_c", F.floor(F.col("_t") / span))
-    return near.join(counts, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_c")) & (F.abs(F.col(ts_ms) - F.col("_t")) <= within_ms)).drop("_b", "_c", "_k", "_t")
+    near = df.withColumn(b, F.explode(F.array(*[F.floor(F.col(ts_ms) / span) + d for d in (-1, 0, 1)])))
+    counts = counts.withColumn(c, F.floor(F.col(t) / span))
+    return near.join(counts, (F.col(key) == F.col(k)) & (F.col(b) == F.col(c)) & (F.abs(F.col(ts_ms) - F.col(t)) <= within_ms)).drop(b, c, k, t)

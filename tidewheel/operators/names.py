@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Each name, with underscores before it until ``df`` has no column of that name (case is ignored, as Spark does)."""
-    taken = {c.lower() for c in df.columns}
+def fresh(df: DataFrame | Iterable[str], *names: str) -> list[str]:
+    """Each name, with underscores before it until ``df`` (or a list of names) has no column of that name (case is ignored, as Spark does)."""
+    taken = {c.lower() for c in (df.columns if hasattr(df, "columns") else df)}
     out = []
     for name in names:
         while name.lower() in taken:

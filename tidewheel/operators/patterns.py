@@ -7,32 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .automata import matches
 from .names import fresh
 
 
 def sequence_abc(df: DataFrame, key: str, order: Sequence[str], a: Column, b: Column, c: Column) -> DataFrame:
     """Matches of three following rows that meet a, b, c in turn, skipping past the last row of a match.
 
-    The first row of each match, with ``third``, the third's ordering columns. Candidates overlap only at distance 1
-    or 2; of those chained closer than 3 rows, a match blocks the two rows after it. That choice is made along each
-    chain by an aggregate over the chain's positions.
+    The first row of each match, with ``third``, the third's ordering columns. The scan is the automaton's (``automata.matches``), linear in the rows.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    place, ok, start, chain, at, least, last = fresh(df, *"place ok start chain at least last".split())
-    found = df.withColumn(place, F.row_number().over(w)).withColumn(ok, a & F.lead(b.cast("boolean")).over(w) & F.lead(c.cast("boolean"), 2).over(w))
-    found = found.withColumn("third", F.lead(F.struct(*order), 2).over(w)).filter(ok)
-    begins = F.when(F.coalesce(F.col(place) - F.lag(place).over(w) >= 3, F.lit(True)), 1).otherwise(0)
-    chained = found.withColumn(start, begins).withColumn(chain, F.sum(start).over(w))
-    # A chain of one candidate, as most are, is a match; of longer ones the places are gathered once for each chain.
-    edges = Window.partitionBy(key, chain)
-    chained = chained.withColumn(least, F.min(place).over(edges)).withColumn(last, F.max(place).over(edges))
-    alone = chained.filter(F.col(last) == F.col(least))
-    longer = chained.filter(F.col(last) > F.col(least))
-    keep = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= 3), F.concat(acc, F.array(x))).otherwise(acc)
-    taken = longer.groupBy(F.col(key).alias(at), chain).agg(F.aggregate(F.sort_array(F.collect_list(place)), F.array().cast("array<int>"), keep).alias(start))
-    taken = taken.select(at, F.explode(start).alias(least))
-    chosen = longer.drop(least).join(taken, F.col(key).eqNullSafe(F.col(at)) & (F.col(place) == F.col(least)), "left_semi")
-    return alone.select(*df.columns, "third").unionByName(chosen.select(*df.columns, "third"))
+    keep = [x for x in df.columns if x not in (key, *order)]
+    out = matches(df, [key], order, [(a, 1, 1), (b, 1, 1), (c, 1, 1)], keep)
+    third = F.struct(*[F.col(f"last_{x}").alias(x) for x in order]).alias("third")
+    return out.select(*[F.col(x if x == key else f"first_{x}").alias(x) for x in df.columns], third)
 
 
 def rising_runs(df: DataFrame, key: str, order: Sequence[str], column: str, n: int, falling: bool = False) -> DataFrame:
@@ -44,12 +31,13 @@ def rising_runs(df: DataFrame, key: str, order: Sequence[str], column: str, n: i
     w = Window.partitionBy(key).orderBy(*order)
     before = F.lag(column).over(w)
     goes_on = F.coalesce((F.col(column) < before) if falling else (F.col(column) > before), F.lit(False))
-    runs = df.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
-    place = F.row_number().over(Window.partitionBy(key, "_run").orderBy(*order)) - 1
-    chunks = runs.withColumn("_chunk", F.floor(place / n))
+    new, run, chunk, size, first, last = fresh(df, *"new run chunk size first last".split())
+    runs = df.withColumn(new, F.when(goes_on, 0).otherwise(1)).withColumn(run, F.sum(new).over(w))
+    place = F.row_number().over(Window.partitionBy(key, run).orderBy(*order)) - 1
+    chunks = runs.withColumn(chunk, F.floor(place / n))
     at = F.struct(*order, column)
-    out = chunks.groupBy(key, "_run", "_chunk").agg(F.count("*").alias("_n"), F.min(at).alias("_first"), F.max(at).alias("_last")).filter(F.col("_n") == n)
-    return out.select(key, *[F.col("_first")[c].alias(f"first_{c}") for c in (*order, column)], *[F.col("_last")[c].alias(f"last_{c}") for c in (*order, column)])
+    out = chunks.groupBy(key, run, chunk).agg(F.count("*").alias(size), F.min(at).alias(first), F.max(at).alias(last)).filter(F.col(size) == n)
+    return out.select(key, *[F.col(first)[c].alias(f"first_{c}") for c in (*order, column)], *[F.col(last)[c].alias(f"last_{c}") for c in (*order, column)])
 
 
 def rising_or_falling(df: DataFrame, key: str, order: Sequence[str], column: str, n: int) -> DataFrame:

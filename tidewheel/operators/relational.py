@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import fresh
+
 
 def where_equal(df: DataFrame, column: str, value) -> DataFrame:
     """Rows whose ``column`` equals ``value``, with all columns; null never equals."""
@@ -127,9 +129,13 @@ def custom_aggregate(df: DataFrame, key: str, column: str, function, returns: st
 
 
 def cogrouped_rollup(frames: Sequence[DataFrame], outer: str, inner: str) -> DataFrame:
-    """Several keyed frames into one aggregate: for each ``outer`` a map of ``inner`` to its count."""
+    """Several keyed frames into one aggregate: the rows of each ``inner`` of each ``outer``, as ``n``; one row a pair, so an outer key may have any number."""
     union = reduce(DataFrame.unionByName, [f.select(outer, inner) for f in frames])
-    counts = union.groupBy(outer, inner).agg(F.count("*").alias("n"))
+    return union.groupBy(outer, inner).agg(F.count("*").alias("n"))
+
+
+def rollup_maps(counts: DataFrame, outer: str, inner: str) -> DataFrame:
+    """The counts of each ``outer`` as one map: only for inner keys of bounded number, as a map is one row."""
     return counts.groupBy(outer).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(inner, "n")))).alias("counts"))
 
 
@@ -158,9 +164,10 @@ def earliest_value(df: DataFrame, key: str, value: str, order: Sequence[str], na
 def _since_delete(df: DataFrame, key: str, order: str, delete: Column) -> DataFrame:
     """Each key's rows since its last delete marker."""
     w = Window.partitionBy(key).orderBy(order)
+    run, last = fresh(df, "run", "last")
     marks = F.sum(F.when(delete, 1).otherwise(0)).over(w)
-    run = df.withColumn("_run", marks).withColumn("_last", F.max("_run").over(Window.partitionBy(key)))
-    return run.filter((F.col("_run") == F.col("_last")) & ~F.coalesce(delete, F.lit(False)))
+    marked = df.withColumn(run, marks).withColumn(last, F.max(run).over(Window.partitionBy(key)))
+    return marked.filter((F.col(run) == F.col(last)) & ~F.coalesce(delete, F.lit(False))).drop(run, last)
 
 
 def collected(df: DataFrame, key: str, value: str, order: str, delete: Column) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .analytic import over_interval
+from .names import fresh
+from .ranges import Ranged
 
 
 def _flat(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -31,8 +33,12 @@ def hopping(df: DataFrame, ts: str, size: str, step: str, keys: Sequence[str] =
 def cumulating_sum(df: DataFrame, ts: str, step_seconds: int, most_seconds: int, value: Column, name: str, keys: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """Sums over windows that grow by a step up to the largest and then start anew; windows whose span holds no row do not appear.
 
-    Rows are first added up by step, so the expansion is of at most most / step rows for each step that has any.
+    Rows are first added up by step, so the expansion is of at most most / step rows for each step that has any. On a stream with a
+    watermark the steps' sums come from one windowed aggregate and go on, with the time of their window, into a second one; the windows that begin at one time
+    are given out when the watermark has passed the end of the largest.
     """
+    if df.isStreaming:
+        return _cumulating_stream(df, ts, step_seconds, most_seconds, value, name, keys, digits)
     seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
     base = F.floor(seconds / most_seconds) * most_seconds
     steps = most_seconds // step_seconds
@@ -44,6 +50,18 @@ def cumulating_sum(df: DataFrame, ts: str, step_seconds: int, most_seconds: int,
     return out.select(*keys, at(F.col("_base")).alias("window_start"), at(F.col("_base") + F.col("_step") * step_seconds).alias("window_end"), name)
 
 
+def _cumulating_stream(df: DataFrame, ts: str, step_seconds: int, most_seconds: int, value: Column, name: str, keys: Sequence[str], digits: int | None) -> DataFrame:
+    steps = most_seconds // step_seconds
+    at, summed_, step = fresh(df, "at", "sum", "step")
+    summed = df.groupBy(F.window(ts, f"{step_seconds} seconds").alias("window"), *keys).agg(F.sum(value).alias(summed_)).withColumn(at, F.window_time("window"))
+    place = F.expr(f"(unix_seconds(window.start) % {most_seconds}) div {step_seconds} + 1")
+    grown = summed.select(*keys, at, summed_, F.explode(F.sequence(place, F.lit(steps).cast("long"))).alias(step))
+    out = grown.groupBy(F.window(at, f"{most_seconds} seconds").alias("window"), step, *keys).agg((F.round(F.sum(summed_), digits) if digits is not None else F.sum(summed_)).alias(name))
+    start = F.col("window.start")
+    end = F.timestamp_seconds(F.unix_seconds(start) + F.col(step) * step_seconds)
+    return out.select(*keys, start.cast("timestamp_ntz").alias("window_start"), end.cast("timestamp_ntz").alias("window_end"), name)
+
+
 def session(df: DataFrame, ts: str, gap: str, keys: Sequence[str] = (), end: str = "gap", **aggregates: Column) -> DataFrame:
     """Sessions of rows at most ``gap`` apart. ``end``: "gap" is the last row's time plus the gap, "last" that time itself, with length_ms."""
     grouped = df.groupBy(F.session_window(ts, gap).alias("window"), *keys).agg(*[c.alias(n) for n, c in aggregates.items()])
@@ -61,19 +79,33 @@ def trailing_average(df: DataFrame, ts: str, key: str, value: str, milliseconds:
     return out.withColumn(name, F.round(name, digits))
 
 
-def sliding(df: DataFrame, ts_ms: str, key: str, value: str, milliseconds: int, digits: int = 2) -> DataFrame:
+def sliding(df: DataFrame, ts_ms: str, key: str, value: str, milliseconds: int, digits: int = 2, scale: int = 6, partitions: int | None = None) -> DataFrame:
     """All sliding windows: one ends at each distinct time, one starts just after it if a later row falls inside.
 
-    key, window_start, window_end (ms), n, average. Each row meets the windows of its two neighbouring
-    spans of one window length, so there is no join of all rows with all windows.
+    key, window_start, window_end (ms), n, average. Rows and the edges of windows are one list of events in order of time; a window is the
+    difference of the running sums at its two edges, so no window meets a row, however dense the rows are. Rows are first added up by time.
+    Running sums are taken by ranges, so a hot key is spread over tasks; values are added as decimals of ``scale`` places, as
+    differences must be exact. Rows without a key or a time are in no window; a null value counts, but not in the average.
     """
-    times = df.select(key, F.col(ts_ms).alias("_t")).distinct()
-    starts = times.select(key, F.explode(F.array(F.col("_t") - milliseconds, F.col("_t") + 1)).alias("window_start")).distinct()
-    span = milliseconds + 1
-    windows = starts.withColumn("_b", F.explode(F.array(F.floor(F.col("window_start") / span), F.floor(F.col("window_start") / span) + 1)))
-    rows = df.withColumn("_b", F.floor(F.col(ts_ms) / span))
-    met = windows.join(rows, [key, "_b"]).filter(F.col(ts_ms).between(F.col("window_start"), F.col("window_start") + milliseconds))
-    return met.groupBy(key, "window_start").agg(F.count("*").alias("n"), F.round(F.avg(value), digits).alias("average")).select(key, "window_start", (F.col("window_start") + milliseconds).alias("window_end"), "n", "average")
+    at, side, start, n, m, s, n_all, m_all, s_all = fresh(df.select(key, ts_ms), *"at side start n m s n_all m_all s_all".split())
+    exact = F.col(value).cast(f"decimal(30,{scale})")
+    times = df.filter(F.col(key).isNotNull() & F.col(ts_ms).isNotNull()).groupBy(key, F.col(ts_ms).cast("long").alias(at)).agg(F.count("*").alias(n), F.count(exact).alias(m), F.coalesce(F.sum(exact), F.lit(0)).cast(f"decimal(38,{scale})").alias(s))
+    t = F.col(at)
+    edge = lambda place, side_, from_: F.struct(place.alias(at), F.lit(side_).alias(side), from_.alias(start), F.lit(False).alias("own"))
+    first, later = t - milliseconds, t + 1
+    own = F.struct(t.alias(at), F.lit(1).alias(side), t.alias(start), F.lit(True).alias("own"))
+    listed = F.array(own, edge(first, 0, first), edge(t, 2, first), edge(later, 0, later), edge(later + milliseconds, 2, later))
+    events = times.select(key, n, m, s, F.explode(listed).alias("event"))
+    counts = lambda c: F.when(F.col("event.own"), F.col(c)).otherwise(F.lit(0)).alias(c)
+    events = events.select(key, F.col(f"event.{at}").alias(at), F.col(f"event.{side}").alias(side), F.col(f"event.{start}").alias(start), counts(n), counts(m), counts(s))
+    ranged = Ranged(events, [key], [at, side, start], partitions, [n_all, m_all, s_all])
+    ranged.sums({n_all: F.col(n), m_all: F.col(m), s_all: F.col(s)}, inclusive=True)
+    # Before its low edge (side 0) lie the rows before the window, before its high edge (side 2) also those inside; equal windows have equal edges.
+    edges = ranged.rows.filter(F.col(side) != 1)
+    inside = lambda c: F.max(F.when(F.col(side) == 2, F.col(c))) - F.max(F.when(F.col(side) == 0, F.col(c)))
+    windows = edges.groupBy(key, F.col(start).alias("window_start")).agg(inside(n_all).alias("n"), inside(m_all).alias(m_all), inside(s_all).alias(s_all)).filter("n > 0")
+    average = F.round(F.when(F.col(m_all) > 0, F.col(s_all).cast("double") / F.col(m_all)), digits)
+    return windows.select(key, "window_start", (F.col("window_start") + milliseconds).alias("window_end"), "n", average.alias("average"))
 
 
 def bounds_as_text(df: DataFrame, pattern: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:

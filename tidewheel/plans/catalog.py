@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import analytic as A
+from ..operators import automata
 from ..operators import joins as J
 from ..operators import patterns as P
 from ..operators import relational as R
@@ -19,7 +20,7 @@ from ..operators import timeseries as M
 from ..operators import vectors as V
 from ..operators import windows as W
 from ..sources import readers, sinks
-from ..streaming import replay, stateful
+from ..streaming import changing, replay, stateful
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -187,7 +188,7 @@ def earliest_by_offset(t):
 @query("SELECT event_type AS app, user_id, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY ALL")
 def cogroup_rollup(t):
     parts = R.split_by(t("events").select(F.col("event_type").alias("app"), "user_id"), {k: F.col("app") == k for k in ("click", "view", "purchase")})
-    return R.cogrouped_rollup(list(parts.values()), "app", "user_id").select("app", F.explode("counts").alias("user_id", "n"))
+    return R.cogrouped_rollup(list(parts.values()), "app", "user_id")
 
 
 @query("SELECT l_suppkey, (sum(l_linenumber) // count(l_linenumber))::BIGINT AS average FROM lineitem GROUP BY ALL")
@@ -352,8 +353,18 @@ m AS (SELECT user_id, min(i) AS i FROM c GROUP BY user_id UNION ALL SELECT m.use
 SELECT user_id, event_id, third FROM c JOIN m USING (user_id, i)""")
 def pattern_abc(t):
     v = F.col("value")
-    out = P.sequence_abc(t("events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], v > 20, v < 20, v > 20)
-    return out.select("user_id", "event_id", F.col("third.event_id").alias("third"))
+    out = automata.matches(t("events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], [(v > 20, 1, 1), (v < 20, 1, 1), (v > 20, 1, 1)])
+    return out.select("user_id", F.col("first_event_id").alias("event_id"), F.col("last_event_id").alias("third"))
+
+
+@query("""WITH o AS (SELECT event_id, ts, event_type, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
+p AS (SELECT *, max(CASE WHEN event_type <> 'click' THEN i END) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o)
+SELECT v.event_id AS first_id, p.event_id AS last_id FROM p JOIN o v ON v.i = p.before WHERE p.event_type = 'purchase' AND v.event_type = 'view' AND p.i - p.before >= 2""")
+def pattern_quantified(t):
+    kind = F.col("event_type")
+    pattern = [(kind == "view", 1, 1), (kind == "click", 1, None), (kind == "purchase", 1, 1)]
+    out = automata.matches(t("events").select("ts", "event_id", "event_type"), [], ["ts", "event_id"], pattern)
+    return out.select(F.col("first_event_id").alias("first_id"), F.col("last_event_id").alias("last_id"))
 
 
 def _up_sql(op: str) -> str:
@@ -528,6 +539,29 @@ def anomaly_ar1(t):
     return M.anomalies(t("events").select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "forecast", "is_anomaly")
 
 
+@query(_AR.replace("PARTITION BY user_id ", "") + """f AS (SELECT event_id, y, x, (regr_count(y, x) OVER w)::BIGINT AS n, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a, regr_syy(y, x) OVER w AS syy, regr_sxy(y, x) OVER w AS sxy
+FROM x WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, a + b * x AS f, 2.5758293035489004 * sqrt(greatest(syy - b * sxy, 0) / greatest(n - 2, 1)) AS s FROM f)
+SELECT event_id, CASE WHEN n >= 16 THEN round(f, 4) END AS forecast, CASE WHEN n >= 16 THEN y < f - s OR y > f + s END AS is_anomaly FROM g""")
+def anomaly_all(t):
+    return M.growing_anomalies(t("events").select("event_id", "ts", "value"), [], ["ts", "event_id"], "value").select("event_id", "forecast", "is_anomaly")
+
+
+@query(_AR.replace("PARTITION BY user_id ", "") + """f AS (SELECT event_id, y, k, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a FROM x WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT event_id, CASE WHEN k > 16 THEN round(a + b * y, 4) END AS forecast FROM f""")
+def forecast_all(t):
+    return M.growing_forecast(t("events").select("event_id", "ts", "value"), [], ["ts", "event_id"], "value").select("event_id", "forecast")
+
+
+@query("""WITH d AS (SELECT event_type, ts, event_id, value AS v, value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS y FROM events),
+l AS (SELECT event_type, v, y, lag(y) OVER w AS x, row_number() OVER w AS k, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS back FROM d WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+f AS (SELECT event_type, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM l WHERE k > 2 GROUP BY event_type)
+SELECT event_type, n, round(b, 3) AS slope, round(v + a + b * y, 3) AS next FROM f JOIN l USING (event_type) WHERE back = 1""")
+def arima_110(t):
+    out = M.arima(t("events").select("event_type", "ts", "event_id", "value"), ["event_type"], ["ts", "event_id"], "value", lags=1, differences=1, digits=8)
+    return out.select("event_type", "n", F.round(F.col("coefficients")[1], 3).alias("slope"), F.round(F.col("forecasts")[0], 3).alias("next"))
+
+
 @query()
 def embed_text(t):
     return V.embed(t("documents").select("doc_id", "text"), "text").select("doc_id", "vector")
@@ -589,6 +623,37 @@ def watermark_audit(t):
 # --- streams, against the SQL of their batch forms ------------------------------------------------------------------------------
 
 
+@query(_ASOF)
+def stream_asof(t):
+    e = streamed(t)
+    versions = R.where_equal(e, "event_type", "signup").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("signup_id"))
+    purchases = R.where_equal(e, "event_type", "purchase").select("event_id", "user_id", "ts")
+    versions, end = replay.ended(versions, "at", "2100-01-01 00:00:00")
+    joined = changing.as_of(purchases, versions, ["user_id"], "ts", "at", ["signup_id"])
+    return replay.drain(joined, end=end).select("event_id", "signup_id")
+
+
+@query("SELECT concat_ws('-', c_custkey, o_orderkey) AS id, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def stream_fk(t):
+    joined = changing.foreign_key_join(streamed(t, "orders"), streamed(t, "customer"), "o_orderkey", "o_custkey", ["o_orderstatus"], "c_custkey", ["c_name"], "o_orderdate", "c_custkey")
+    now = changing.current(replay.drain(joined), "o_orderkey")
+    return now.select(F.concat_ws("-", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("id"), "c_name")
+
+
+@query("SELECT p_brand, p_partkey, p_retailprice, rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 3")
+def stream_top_n(t):
+    changes = changing.top_n(streamed(t, "part").select("p_brand", "p_partkey", "p_retailprice"), ["p_brand"], "p_partkey", "p_retailprice", 3, "p_partkey")
+    return changing.replayed(replay.drain(changes), ["p_brand"])
+
+
+@query("""WITH e AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS count FROM events)
+SELECT a.event_id, b.count FROM e a JOIN e b ON a.user_id = b.user_id AND abs(a.t - b.t) <= 600000""")
+def stream_own_count(t):
+    e = streamed(t).select("user_id", "event_id", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    step = stateful.own_count_step("user_id", "t", "event_id", 600_000)
+    return replay.drain(stateful.scan(e, "user_id", ["ts", "event_id"], {}, step, "user_id long, event_id long, count long")).select("event_id", "count")
+
+
 @query(_TUMBLE)
 def stream_tumble(t):
     drained = replay.drain(_tumble(replay.event_time(streamed(t), "ts")), "update")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import stash
+
 
 def dead_letters(df: DataFrame, checks: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(good, dead): rows that fail a check go unchanged to the second, with the first failing check's name in ``error``.
@@ -32,6 +35,43 @@ def write_both(good_path: str, dead_path: str, checks: Mapping[str, Column]):
     return write
 
 
+def upsert(batch: DataFrame, path: str, keys: Sequence[str], order: str, buckets: int, gone: Column | None = None) -> None:
+    """Merge rows into the table at ``path``: of each key the row with the greatest ``order`` stays; where ``gone`` is true it deletes the key.
+
+    The table is Parquet in ``buckets`` folders by a digest of the key, and only folders that the batch touches are read and written again. A
+    deletion is kept as a row (``_gone``), so that older rows that come later do not bring the key back; ``upserted`` leaves it out. The merge
+    depends on rows alone, not on how often they came, so a batch that runs again changes nothing. Of rows equal in key and order one that deletes stays.
+    """
+    spark = batch.sparkSession
+    (bucket, dead) = ("_bucket", "_gone")
+    rows = batch.withColumn(dead, F.coalesce(gone if gone is not None else F.lit(False), F.lit(False))).withColumn(bucket, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    rows = stash(rows)
+    touched = [r[0] for r in rows.select(bucket).distinct().collect()]  # at most ``buckets``
+    if not touched:
+        return
+    try:
+        held = spark.read.schema(rows.schema).parquet(path).filter(F.col(bucket).isin(touched))
+        rows = rows.unionByName(held.select(*rows.columns))
+    except AnalysisException as error:  # the first batch
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    rest = [c for c in rows.columns if c not in (*keys, bucket)]
+    merged = rows.groupBy(bucket, *keys).agg(F.max_by(F.struct(*rest), F.struct(order, dead)).alias("_last"))
+    # Written aside first: what is read must not be what is replaced.
+    merged = stash(merged.select(*keys, *[F.col("_last")[c].alias(c) for c in rest], bucket))
+    merged.repartition(len(touched), bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(path)
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that ``upsert`` keeps."""
+    return spark.read.parquet(path).filter("not _gone").drop("_gone", "_bucket")
+
+
+def upsert_sink(path: str, keys: Sequence[str], order: str, buckets: int, gone: Column | None = None):
+    """A ``foreachBatch`` function that merges each batch of a stream of changes into the table at ``path``."""
+    return lambda batch, number: upsert(batch, path, keys, order, buckets, gone)
+
+
 def write_routes(df: DataFrame, route: str, path: str) -> None:
     """One folder for each value of ``route``; rows of a route stay where they are, no shuffle."""
     df.write.mode("append").partitionBy(route).parquet(path)

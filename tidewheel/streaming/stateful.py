@@ -9,14 +9,15 @@ steps run over each key's rows, sorted by the shuffle, in Arrow batches, so a ho
 from __future__ import annotations
 
 import copy
-import json
+import pickle
 from collections.abc import Callable, Iterator
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
 
 from ..operators.names import fresh
 
@@ -24,30 +25,32 @@ Step = Callable[[dict, dict], tuple[dict, list[dict]]]
 
 
 class _Scan(StatefulProcessor):
+    """The state is kept as bytes (pickle), so that it may hold times, dates, decimals and binary values as rows have them."""
+
     def __init__(self, order: list[str], initial: dict, step: Step, names: list[str], idle_ms: int | None):
         self.order, self.initial, self.step, self.names, self.idle_ms = order, initial, step, names, idle_ms
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("scan", "value string", self.idle_ms)
+        self.state = handle.getValueState("scan", "value binary", self.idle_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.state.get()[0]) if self.state.exists() else copy.deepcopy(self.initial)
-        out: list[dict] = []
-        for row in pd.concat(list(rows)).sort_values(self.order, kind="stable").to_dict("records"):
-            state, given = self.step(state, row)
-            out += given
-        self.state.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=self.names)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        state = pickle.loads(self.state.get()[0]) if self.state.exists() else copy.deepcopy(self.initial)
+        make = Row(*self.names)
+        for row in sorted(rows, key=lambda r: tuple((r[n] is not None, r[n]) if r[n] is not None else (False,) for n in self.order)):
+            state, given = self.step(state, row.asDict())
+            for new in given:
+                yield make(*[new.get(n) for n in self.names])
+        self.state.update((pickle.dumps(state),))
 
     def close(self) -> None:
         pass
 
 
 def scan(df: DataFrame, key: str, order: list[str], initial: dict, step: Step, schema: str, idle_ms: int | None = None) -> DataFrame:
-    """``step`` over each key's rows; ``schema`` is that of the rows it gives. The state must be JSON. ``idle_ms``: see above; streams only."""
+    """``step`` over each key's rows; ``schema`` is that of the rows it gives. ``idle_ms``: see above; streams only."""
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
     if df.isStreaming:
-        return df.groupBy(key).transformWithStateInPandas(_Scan(order, initial, step, names, idle_ms), schema, "Append", "ProcessingTime" if idle_ms else "None")
+        return df.groupBy(key).transformWithState(_Scan(order, initial, step, names, idle_ms), schema, "Append", "ProcessingTime" if idle_ms else "None")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, now, begun = None, None, False
@@ -123,6 +126,35 @@ def dedup_step(key: str, ts: str, within_ms: int, keep: list[str]) -> Step:
     return step
 
 
+def sliding_step(key: str, ts_ms: str, value: str, milliseconds: int, digits: int = 2) -> Step:
+    """For each row the average of its key's rows that came so far in the ``milliseconds`` up to it. The state is the rows of that time."""
+
+    def step(state, row):
+        now = int(row[ts_ms])
+        rows = [(t, v) for t, v in state.get("rows", []) if t >= now - milliseconds] + [(now, row[value])]
+        inside = [v for t, v in rows if t <= now and v is not None and not pd.isna(v)]
+        return {"rows": rows}, [{key: row[key], ts_ms: now, "average": round(sum(inside) / len(inside), digits) if inside else None}]
+
+    return step
+
+
+def own_count_step(key: str, ts_ms: str, row_id: str, within_ms: int, lateness_ms: int = 0) -> Step:
+    """A stream joined with its own running count by key: each row with the counts that its key had at most ``within_ms`` before or after it.
+
+    The state is the key's count and its rows that one still to come may meet: those up to ``within_ms`` and ``lateness_ms`` before the latest.
+    """
+
+    def step(state, row):
+        now, n = int(row[ts_ms]), state.get("n", 0) + 1
+        near = [r for r in state.get("rows", []) if abs(r[0] - now) <= within_ms]
+        out = [{key: row[key], row_id: i, "count": n} for _, i, _ in near] + [{key: row[key], row_id: row[row_id], "count": c} for _, _, c in near]
+        rows = [*state.get("rows", []), (now, row[row_id], n)]
+        last = max(t for t, _, _ in rows)
+        return {"n": n, "rows": [r for r in rows if r[0] >= last - within_ms - lateness_ms]}, [*out, {key: row[key], row_id: row[row_id], "count": n}]
+
+    return step
+
+
 def ttl_join_step(key: str, ts_ms: str, value: str, side: str, ttl_ms: int) -> Step:
     """Stacked rows of a stream (side 1) and a table (side 0): each stream row with the table's value, unless it is idle for more than the limit."""
 
@@ -182,33 +214,29 @@ def changelog_join_step(key: str, ts_ms: str, value: str, side: str) -> Step:
 
 
 class _Reorder(StatefulProcessor):
-    """Holds rows by event time and gives them out in order when the watermark passes the end of their interval."""
+    """Holds rows by event time, with their types, and gives them out in order when the watermark passes the end of their interval."""
 
-    def __init__(self, ts: str, interval_ms: int, names: list[str]):
-        self.ts, self.interval_ms, self.names = ts, interval_ms, names
+    def __init__(self, interval_ms: int, row: StructType):
+        self.interval_ms, self.row = interval_ms, row
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "us long", "row string")
+        self.held = handle.getMapState("held", "us long", self.row)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for row in json.loads(pdf[self.names].to_json(orient="records", date_format="iso", date_unit="us")):
-                now = _us(row[self.ts])
-                if not self.held.containsKey((now,)):  # of rows with one time, the first to arrive stays
-                    self.held.updateValue((now,), (json.dumps(row),))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for row in rows:
+            now = row[-1]
+            if now is not None and not self.held.containsKey((now,)):  # of rows with one time, the first to arrive stays
+                self.held.updateValue((now,), tuple(row)[:-1])
                 self.handle.registerTimer((now // (1000 * self.interval_ms) + 1) * self.interval_ms)
-        yield pd.DataFrame(columns=self.names)
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         until = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted((k[0], v[0]) for k, v in self.held.iterator() if k[0] < 1000 * until)
-        for us, _ in due:
+        make = Row(*self.row.names)
+        for us in sorted(k[0] for k, _ in self.held.iterator() if k[0] < 1000 * until):
+            yield make(*tuple(self.held.getValue((us,))))
             self.held.removeKey((us,))
-        out = pd.DataFrame([json.loads(r) for _, r in due], columns=self.names)
-        if len(out):
-            out[self.ts] = pd.to_datetime(out[self.ts])
-        yield out
 
     def close(self) -> None:
         pass
@@ -221,8 +249,9 @@ def reorder(df: DataFrame, key: str, ts: str, interval_ms: int, arrival: str | N
     column that tells the order of arrival, such as an offset; without it the least row by its other columns counts as the first.
     """
     if df.isStreaming:
-        names = df.columns
-        return df.groupBy(key).transformWithStateInPandas(_Reorder(ts, interval_ms, names), df.schema, "Append", "EventTime")
+        (us,) = fresh(df, "us")
+        timed = df.withColumn(us, F.unix_micros(F.col(ts).cast("timestamp")))
+        return timed.groupBy(key).transformWithState(_Reorder(interval_ms, df.schema), df.schema, "Append", "EventTime")
     from pyspark.sql import Window
 
     millis = F.unix_millis(F.col(ts).cast("timestamp"))
@@ -332,7 +361,8 @@ def dedup_islands(df: DataFrame, key: str, ts: str, within: str) -> DataFrame:
 
     w = Window.partitionBy(key).orderBy(ts)
     apart = F.lag(ts).over(w).isNull() | (F.col(ts) - F.lag(ts).over(w) > F.expr(f"interval {within}"))
-    known = df.filter(F.col(key).isNotNull()).withColumn("_a", apart).filter("_a").drop("_a")
+    (name,) = fresh(df, "apart")
+    known = df.filter(F.col(key).isNotNull()).withColumn(name, apart).filter(F.col(name)).drop(name)
     return known.unionByName(df.filter(F.col(key).isNull()))
 
 
