@@ -46,7 +46,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){13,}+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SECRET = re.compile(r"(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([^\s\"',;<>]{8,128})")
+_ASSIGNED = re.compile(r"[:=]")
+_VALUE = re.compile(r"[\x20\t]{0,3}[\"']?([^\s\"',;<>]{8,128})")
+#: Ends of names, without signs, whose values are secrets.
+_SECRET_NAMES = ("token", "secret", "passwd", "password", "apikey", "accesskey")
 _DIGIT = re.compile("[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _BLANK = re.compile(r"\s")
@@ -93,13 +96,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def secret_spans(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Values that are assigned to a name that tells a secret, as spans like ``base_spans`` gives; none that meets one of ``spans``."""
-    out, k = [], 0
-    for m in _SECRET.finditer(text):
+    out, k, last = [], 0, 0
+    for sign in _ASSIGNED.finditer(text):
+        at = sign.start()
+        if at < last:
+            continue
+        name = text[max(0, at - 24) : at].rstrip("\x20\t\"'").lower().replace("_", "").replace("-", "")
+        if not name.endswith(_SECRET_NAMES) or not (m := _VALUE.match(text, at + 1)):
+            continue
         start, end = m.span(1)
         while k < len(spans) and spans[k][2] <= start:
             k += 1
         if not any(s < end and e > start for s, _, e in spans[k : k + 4]):
             out.append((start, SECRET, end))
+            last = end
     return out
 
 
