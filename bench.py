@@ -1,4 +1,4 @@
-"""Wall seconds of the headline queries, warm, as one JSON line. BENCH_SF_DIR and BENCH_CPUS choose data and cores."""
+"""Wall seconds of the headline queries, warm, the least of three runs, as one JSON line. BENCH_SF_DIR and BENCH_CPUS choose data and cores."""
 
 from __future__ import annotations
 
@@ -16,6 +16,10 @@ HEADLINE = (
 ).split()
 
 
+#: The least of so many runs counts, as one run cannot tell the code from the machine.
+RUNS = 3
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -27,9 +31,12 @@ def main() -> None:
     run("tumble_6h")
     took = {}
     for name in HEADLINE:
-        began = time.perf_counter()
-        run(name)
-        took[name] = round(time.perf_counter() - began, 3)
+        runs = []
+        for _ in range(RUNS):
+            began = time.perf_counter()
+            run(name)
+            runs.append(time.perf_counter() - began)
+        took[name] = round(min(runs), 3)
     print(json.dumps({"metric": "headline queries, wall seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 
