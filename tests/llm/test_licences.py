@@ -58,8 +58,9 @@ def method(texts):
             order = sorted(set(t), key=lambda x: (-idf[x], x))
             looked = [x for x in order if x in w][: licences.LOOKED_UP]
             top = 0
-            for start in {i - p for i, x in enumerate(w) if x in looked for p, y in enumerate(t) if x == y}:
-                voters = {x for x in looked for p, y in enumerate(t) if x == y and 0 <= start + p < len(w) and w[start + p] == x}
+            votes = {(i - p, x) for i, x in enumerate(w) if x in looked for p, y in enumerate(t) if x == y}
+            for band in {start // licences.BAND - k for start, _ in votes for k in (0, 1)}:
+                voters = {x for start, x in votes if band <= start // licences.BAND <= band + 1}
                 top = max(top, sum(idf[x] for x in voters))
             share = min(1.0, top / sum(idf[x] for x in order[: licences.LOOKED_UP]))
             if share >= licences.SHARE:
@@ -97,5 +98,28 @@ def test_labels_do_not_depend_on_other_rows_or_copies(spark):
         assert all(r.labels == want[dict(rows)[r.doc_id]] for r in got), [r.labels for r in got]
 
 
+def test_notices_with_words_put_in_or_left_out(spark):
+    """Whole notices keep their label with a word more or less anywhere outside of the key phrase, and with several words more in one place."""
+    cases = []
+    for label, text, phrase in licences.TEMPLATES:
+        w, p = licences.plain_words(text), phrase.split()
+        if len(w) < 25:
+            continue
+        at = next(i for i in range(len(w)) if w[i : i + len(p)] == p)
+        for part in (1 / 4, 1 / 3, 1 / 2, 2 / 3, 3 / 4):
+            k = int(part * len(w))
+            if not at < k < at + len(p):
+                cases += [(label, " ".join([*w[:k], *more, *w[k:]])) for more in (["either"], ["so", "called", "the", "owner"])]
+            if not at <= k < at + len(p):
+                cases.append((label, " ".join(w[:k] + w[k + 1 :])))
+    cases += [("mit", "# SPDX-License-Identifier: MIT\nimport os"), ("bsd", "// SPDX-License-Identifier: BSD-3-Clause")]
+    cases.append(("bsd", "Redistribution and use in source and binary forms, either with or without modification, are permitted"))
+    rows = [(i, f"some code {t} and on", 1, "x") for i, (_, t) in enumerate(cases)] + [(9000 + i, f"plain text number{i}", 1, "x") for i in range(300)]
+    got = {r.doc_id: r.labels.split(",") for r in licences.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    lost = [(label, t) for i, (label, t) in enumerate(cases) if label not in got[i]]
+    assert len(cases) > 100 and not lost, lost[:3]
+    assert all(got[9000 + i] == [""] for i in range(300))
+
+
 def test_empty(spark):
     assert licences.scan(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -168,4 +168,5 @@ def edited(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, both fingerprints and their likenesses of each row of ``docs``; cases are those of ``edited``."""
     return edited(docs).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")

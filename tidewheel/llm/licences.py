@@ -4,9 +4,10 @@ The index holds, for each word of the licence templates (whole notices and short
 where it stands. A corpus pass counts in how many documents each licence word occurs. For each document and each template
 whose mandatory key phrase stands in it, the ``LOOKED_UP`` of the template's words in the document with the highest IDF are looked
 up, so notices do not take each other's lookups; IDF ranks words and weighs them, it removes none. A posting at position p of a
-template, met at word i of the document, votes for the template starting at word i - p. A start is weighed by the IDF of the
-distinct words that vote for it; where that reaches ``SHARE`` of what the template's own ``LOOKED_UP`` rarest words weigh, in the
-corpus or not, the template is accepted.
+template, met at word i of the document, votes for the template starting at word i - p. As words that are put in or left out move
+the starts that the rest votes for, starts are counted in bands: ``BAND`` neighbouring ones and the ``BAND`` after them, so that starts up to ``BAND``
+apart share one. A band is weighed by the IDF of the distinct words that vote for it; where that reaches ``SHARE`` of what the template's own
+``LOOKED_UP`` rarest words weigh, in the corpus or not, the template is accepted.
 
 What is broadcast is the index: as many rows as the templates have words, whatever the corpus. IDF is counted in whole
 millionths, so sums do not depend on their order.
@@ -26,9 +27,22 @@ from .shared import stash
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOOKED_UP = 16
 SHARE = 0.6
+BAND = 8
 
 #: Label, notice or statement, key phrase that must stand in the text.
 TEMPLATES = (
+    ("mit", "SPDX-License-Identifier: MIT", "spdx license identifier mit"),
+    ("apache", "SPDX-License-Identifier: Apache-2.0", "spdx license identifier apache"),
+    ("gpl", "SPDX-License-Identifier: GPL-2.0-or-later", "spdx license identifier gpl"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-2.1-or-later", "spdx license identifier lgpl"),
+    ("agpl", "SPDX-License-Identifier: AGPL-3.0-or-later", "spdx license identifier agpl"),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause", "spdx license identifier bsd"),
+    ("isc", "SPDX-License-Identifier: ISC", "spdx license identifier isc"),
+    ("mpl", "SPDX-License-Identifier: MPL-2.0", "spdx license identifier mpl"),
+    ("unlicense", "SPDX-License-Identifier: Unlicense", "spdx license identifier unlicense"),
+    ("zlib", "SPDX-License-Identifier: Zlib", "spdx license identifier zlib"),
+    ("boost", "SPDX-License-Identifier: BSL-1.0", "spdx license identifier bsl"),
+    ("cc-by", "SPDX-License-Identifier: CC-BY-4.0", "spdx license identifier cc by"),
     ("mit", "Released under the MIT License", "mit license"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
     (
@@ -171,15 +185,20 @@ def scan(docs: DataFrame) -> DataFrame:
     held = held.withColumn("_own", F.array_intersect("_w", licence_words))
     best = [F.when(F.col("_text").contains(f" {phrase} "), F.slice(F.array_intersect(F.array(*map(F.lit, r)), F.col("_own")), 1, LOOKED_UP)) for r, (_, _, phrase) in zip(ranked, TEMPLATES, strict=True)]
     lists = F.filter(F.transform(F.array(*best), lambda x, t: F.struct(t.alias("t"), x.alias("x"))), lambda x: x["x"].isNotNull())
-    asked = held.select("_id", "_same", "_w", F.inline(lists).alias("_template", "_list"))
-    places = F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda p: F.array_contains("_list", p["w"]))
+    # A text that has several key phrases is asked about several templates: only its licence words go along.
+    spots = F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda p: F.array_contains(licence_words, p["w"]))
+    asked = held.withColumn("_spots", spots).select("_id", "_same", "_spots", F.inline(lists).alias("_template", "_list"))
+    places = F.filter("_spots", lambda p: F.array_contains("_list", p["w"]))
+    start = F.col("_i") - F.col("_position")
+    bands = F.array(F.floor(start / BAND), F.floor(start / BAND) - 1)
     votes = (
         asked.select("_id", "_same", "_template", F.inline(places).alias("_i", "_word"))
         .join(F.broadcast(index), ["_word", "_template"])
-        # Each word votes once for a start, however often it or a copy of the row says so.
-        .groupBy("_id", "_same", "_template", (F.col("_i") - F.col("_position")).alias("_start"), "_word")
+        .withColumn("_band", F.explode(bands))
+        # Each word votes once for a band, however often it or a copy of the row says so.
+        .groupBy("_id", "_same", "_template", "_band", "_word")
         .agg(F.first("_idf").alias("_idf"))
-        .groupBy("_id", "_same", "_template", "_start")
+        .groupBy("_id", "_same", "_template", "_band")
         .agg(F.sum("_idf").alias("_votes"))
         .withColumn("_share", F.least(F.lit(1.0), F.col("_votes") / F.element_at(F.array(*map(F.lit, most)), F.col("_template") + 1)))
         .filter(F.col("_share") >= SHARE)

@@ -11,45 +11,54 @@ from .shared import shared_folder, small_batches, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base entities, secrets and what they lead to, in every document."""
     small_batches(spark)
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all ``pages`` as WARC archives with revisits, and read them back."""
     small_batches(spark)
     archives = warc.write(table(spark, sf_dir, "pages"), shared_folder(spark))
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all ``documents`` under the links of their word shingles."""
     small_batches(spark)
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text rules and line frequency by host, for every document."""
     return line_quality.assess(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from the labelled documents that are not held out; score all."""
     small_batches(spark)
     return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove what repeats, byte for byte, of documents with smaller ids."""
     small_batches(spark)
     return repeats.remove(table(spark, sf_dir, "documents"))
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
     small_batches(spark)
     return fingerprint.digests(table(spark, sf_dir, "documents"))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
@@ -61,6 +70,7 @@ def piece_model() -> str:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
     small_batches(spark)
     return piece_codec.digests(table(spark, sf_dir, "documents"), piece_model())
 
@@ -91,6 +101,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of ``corpus_pipeline`` over all ``documents``."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
