@@ -99,6 +99,17 @@ def test_foreign_key_with_moves_and_deletes(spark, tmp_path, seed, how):
     assert got == sorted(want, key=str)
 
 
+def test_foreign_key_join_runs_no_python_by_row(spark, tmp_path, capsys):
+    # The child moves with an order that it had before, and its old parent changes afterwards: neither may bring the old row back.
+    child = stream(spark, tmp_path / "c", [(1, 5, "a", "x"), (1, 5, "b", "y"), (2, 5, "a", "z")], "cid int, t int, ref string, name string", 3)
+    parent = stream(spark, tmp_path / "p", [("a", 1, 10), ("b", 1, 20), ("a", 2, 11)], "pid string, t int, v int", 3)
+    joined = changing.foreign_key_join(child, parent, "cid", "ref", ["name"], "pid", ["v"], "t", "t")
+    joined.explain()
+    plan = capsys.readouterr().out
+    assert "StreamingSymmetricHashJoin" in plan and "TransformWithState" not in plan and "Python" not in plan
+    assert rows_of(changing.current(replay.drain(joined), "cid"), "cid", "ref", "name", "v") == [(1, "b", "y", 20), (2, "a", "z", 11)]
+
+
 MOVIES = [
     (123, "The Dark Knight", "Action", 100240), (456, "Avengers: Endgame", "Action", 200010), (789, "Inception", "Sci-Fi", 150000), (147, "Joker", "Drama", 120304),
     (258, "The Godfather", "Crime", 300202), (369, "Casablanca", "Romance", 400400), (321, "The Shawshank Redemption", "Drama", 500056), (654, "Forrest Gump", "Drama", 350345),

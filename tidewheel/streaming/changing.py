@@ -1,7 +1,7 @@
 """Changing tables on streams: joins as of a time, foreign-key joins of two changing tables, and ranks as a changelog.
 
-State is typed (transformWithState over rows): columns keep their Spark types in the store, whatever they are. Rows of a key are
-taken in their stated order within a micro-batch, and micro-batches as they come.
+State is typed (transformWithState over rows, or a join of streams): columns keep their Spark types in the store, whatever they are. Rows of a
+key are taken in their stated order within a micro-batch, and micro-batches as they come.
 """
 
 from __future__ import annotations
@@ -111,75 +111,6 @@ def as_of(
     return both.groupBy(*keyed).transformWithState(processor, T.StructType([*row, *version]), "Append", "EventTime")
 
 
-class _Subscribe(StatefulProcessor):
-    """A child's current reference: what changes it is told to the parents that it leaves and joins."""
-
-    def __init__(self, reference: T.DataType):
-        self.reference = reference
-
-    def init(self, handle) -> None:
-        self.now = handle.getValueState("now", T.StructType([T.StructField("ref", self.reference), T.StructField("n", T.LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        ref, n = tuple(self.now.get()) if self.now.exists() else (None, 0)
-        make, out = Row("_parent", "_child", "_n", "_row"), []
-        for row in _least_first(rows, "_order"):
-            n, before, ref = n + 1, ref, None if row["_gone"] else row["_ref"]
-            if before is not None and before != ref:
-                out.append(make(before, key[0], n, None))
-            if ref is not None:
-                out.append(make(ref, key[0], n, _parts(row["_row"])))
-        self.now.update((ref, n))
-        return iter(out)
-
-    def close(self) -> None:
-        pass
-
-
-class _Parent(StatefulProcessor):
-    """A parent's values and the children that refer to it now."""
-
-    def __init__(self, child: T.DataType, row: T.StructType, parent: T.StructType, names: list[str], left: bool):
-        self.child, self.row, self.parent, self.names, self.left = child, row, parent, names, left
-
-    def init(self, handle) -> None:
-        one = lambda name, kind: T.StructType([T.StructField(name, kind)])
-        self.values = handle.getValueState("values", self.parent)
-        self.step = handle.getValueState("step", "n long")
-        self.children = handle.getMapState("children", one("id", self.child), T.StructType([T.StructField("n", T.LongType()), T.StructField("row", self.row)]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        step = self.step.get()[0] if self.step.exists() else 0
-        values = tuple(self.values.get()) if self.values.exists() else None
-        make, none = Row(*self.names), (None,) * len(self.parent)
-
-        def joined(child, n, row):
-            return make(child, key[0], *_parts(row), *(values or none), values is None and not self.left, n, step)
-
-        for r in _least_first(rows, "_side", "_order", "_n"):
-            if r["_side"] == 0:
-                step, values = step + 1, None if r["_gone"] else _parts(r["_values"])
-                for child, held in self.children.iterator():
-                    yield joined(child[0], held[0], held[1])
-            elif r["_row"] is None:
-                if self.children.containsKey((r["_child"],)):
-                    self.children.removeKey((r["_child"],))
-                # Told apart from what the new parent says of the same version: its step is never below 0.
-                yield make(r["_child"], key[0], *(None,) * len(self.row), *none, True, r["_n"], -1)
-            else:
-                self.children.updateValue((r["_child"],), (r["_n"], _parts(r["_row"])))
-                if values is not None or self.left:
-                    yield joined(r["_child"], r["_n"], r["_row"])
-        self.step.update((step,))
-        if values is None:
-            self.values.clear()
-        else:
-            self.values.update(values)
-
-    def close(self) -> None:
-        pass
-
-
 def foreign_key_join(
     child: DataFrame, parent: DataFrame, child_id: str, reference: str, child_values: Sequence[str], parent_id: str, parent_values: Sequence[str], child_order: str, parent_order: str,
     child_gone: Column | None = None, parent_gone: Column | None = None, how: str = "inner",
@@ -187,27 +118,28 @@ def foreign_key_join(
     """The changelog of two changing tables joined on the child's ``reference`` to the parent: child_id, reference, child_values, parent_values, deleted, version, step.
 
     ``child`` and ``parent`` are streams of changes, the last row of an id by its order column being its state; rows for which ``..._gone`` is true
-    delete it. A child subscribes to its parent, and leaves the old one when its reference moves (a null reference joins
-    nothing), so each change of either side reaches exactly the rows that it concerns. A child's state is its row with the greatest (version,
-    step), see ``current``; if that is ``deleted`` it has none. ``how``: inner, or left, where a child without a parent keeps nulls. Rows without an id are left out.
+    delete it. ``version`` and ``step`` are the micro-batch and the order of the child's and the parent's change. A child's state is its row with the
+    greatest (version, step), see ``current``; if that is ``deleted`` it has none. Each change of a child gives a row of its own first (step null), which takes back
+    what its former reference gave (a null reference joins nothing), and one row for each change of its parent. ``how``: inner, or left, where a child without a
+    parent keeps nulls. Rows without an id are left out.
+
+    The changes meet in Spark's join of two streams, without a call of Python for any row. Its state holds the changes of both sides, also those that were
+    replaced: they take part in later rows, too, which their version or step tells to be out of date.
     """
     no = F.lit(False)
     ref, ident = _schema(child, [reference])[0], _schema(child, [child_id])[0]
-    row, values = T.StructType(_schema(child, child_values)), T.StructType(_schema(parent, parent_values))
-    parts = lambda names: F.struct(*[F.col(f"`{n}`") for n in names])
-    changes = child.select(F.col(f"`{child_id}`").alias("_child"), F.col(f"`{child_order}`").alias("_order"), F.col(f"`{reference}`").alias("_ref"), F.coalesce(child_gone if child_gone is not None else no, no).alias("_gone"), parts(child_values).alias("_row"))
-    told = T.StructType([T.StructField("_parent", ref.dataType), T.StructField("_child", ident.dataType), T.StructField("_n", T.LongType()), T.StructField("_row", row)])
-    messages = changes.filter(F.col("_child").isNotNull()).groupBy("_child").transformWithState(_Subscribe(ref.dataType), told, "Append", "None")
-    order = _schema(parent, [parent_order])[0].dataType
-    gone = F.coalesce(parent_gone if parent_gone is not None else no, no)
-    messages = messages.select("*", F.lit(1).alias("_side"), F.lit(None).cast(order).alias("_order"), no.alias("_gone"), F.lit(None).cast(values).alias("_values"))
-    own = parent.filter(F.col(f"`{parent_id}`").isNotNull()).select(
-        F.col(f"`{parent_id}`").cast(ref.dataType).alias("_parent"), F.lit(None).cast(ident.dataType).alias("_child"), F.lit(None).cast("long").alias("_n"), F.lit(None).cast(row).alias("_row"),
-        F.lit(0).alias("_side"), F.col(f"`{parent_order}`").alias("_order"), gone.alias("_gone"), parts(parent_values).alias("_values"),
-    )
-    names = [child_id, reference, *child_values, *parent_values, "deleted", "version", "step"]
-    out = T.StructType([T.StructField(child_id, ident.dataType), T.StructField(reference, ref.dataType), *row.fields, *values.fields, T.StructField("deleted", T.BooleanType()), T.StructField("version", T.LongType()), T.StructField("step", T.LongType())])
-    return messages.unionByName(own).groupBy("_parent").transformWithState(_Parent(ident.dataType, row, values, names, how == "left"), out, "Append", "None")
+    of = lambda kinds, names: [F.col(f"`{n}`").alias(f"{kinds}{i}") for i, n in enumerate(names)]
+    # In a stream this is the micro-batch's time, the same if the batch runs again.
+    when = lambda order: F.struct(F.current_timestamp().alias("at"), F.col(f"`{order}`").alias("order"))
+    gone = lambda c: F.coalesce(c if c is not None else no, no)
+    changes = child.filter(F.col(f"`{child_id}`").isNotNull()).select(F.col(f"`{child_id}`").alias("_child"), F.when(~gone(child_gone), F.col(f"`{reference}`")).alias("_ref"), *of("_c", child_values), when(child_order).alias("_version"))
+    told = parent.filter(F.col(f"`{parent_id}`").isNotNull()).select(F.col(f"`{parent_id}`").cast(ref.dataType).alias("_parent"), *of("_p", parent_values), gone(parent_gone).alias("_gone"), when(parent_order).alias("_step"))
+    left, step = how == "left", told.schema["_step"].dataType
+    row, values = [f"_c{i}" for i in range(len(child_values))], [f"_p{i}" for i in range(len(parent_values))]
+    nulls = [F.lit(None).cast(told.schema[v].dataType).alias(v) for v in values]
+    alone = changes.select("_child", "_ref", *row, *nulls, (F.col("_ref").isNull() if left else F.lit(True)).alias("_deleted"), "_version", F.lit(None).cast(step).alias("_step"))
+    met = changes.join(told, F.col("_ref") == F.col("_parent")).select("_child", "_ref", *row, *[F.when(~F.col("_gone"), F.col(v)).alias(v) for v in values], (no if left else F.col("_gone")).alias("_deleted"), "_version", "_step")
+    return alone.unionByName(met).toDF(ident.name, ref.name, *child_values, *parent_values, "deleted", "version", "step")
 
 
 def current(changelog: DataFrame, child_id: str) -> DataFrame:
