@@ -8,6 +8,7 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tests.test_streaming import at, rows_of, stream
 from tidewheel.operators import joins, windows
@@ -67,6 +68,63 @@ def test_versions_leave_the_store(spark, tmp_path):
     assert held <= 2
 
 
+class Counted:
+    """A store of lists that counts the calls of it, as each goes to another process and back."""
+
+    def __init__(self):
+        self.calls, self.timers, self.lists = 0, set(), {}
+
+    def getListState(self, name, schema):
+        held, store = self.lists.setdefault(name, []), self
+
+        class State:
+            def appendList(self, rows):
+                store.calls += 1
+                held.extend(rows)
+
+            def get(self):
+                store.calls += 1
+                return iter(list(held))
+
+            def clear(self):
+                store.calls += 1
+                held.clear()
+
+        return State()
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return 600
+
+
+def test_as_of_calls_the_store_by_key_and_not_by_row(spark):
+    field = T.StructType([T.StructField("v", T.LongType())])
+    row = lambda i, side: {"_us": 1000 * i, "_row": (i,) if side else None, "_version": None if side else (i,)}
+    store, calls = Counted(), {}
+    for n in (10, 1000):
+        processor, store = changing._AsOf(field, field, ["a", "b"], None, False), Counted()
+        processor.init(store)
+        list(processor.handleInputRows((1,), iter([row(i, side) for i in range(n) for side in (0, 1)]), None))
+        assert store.timers == {1}
+        out = list(processor.handleExpiredTimer((1,), store, None))
+        assert [tuple(r) for r in out] == [(i, i) for i in range(min(n, 600))]
+        calls[n] = store.calls
+    assert calls[1000] <= calls[10] + 3
+    assert store.timers == {1, 601} and len(store.lists["waiting"]) == 400 and len(store.lists["versions"]) == 401
+
+
+def test_stream_as_of_query_with_files_out_of_order_of_time(spark, tmp_path):
+    from tidewheel.plans import catalog
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(6, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    got, want = (catalog.queries()[q](spark, str(tmp_path)) for q in ("stream_asof", "asof_join"))
+    assert rows_of(got.fillna(-1), "event_id", "signup_id") == rows_of(want.fillna(-1), "event_id", "signup_id") != []
+
+
 ALBUMS = [("5", "Rock", "Led Zeppelin"), ("6", "Rock", "AC/DC"), ("7", "Hip hop", "LL Cool J"), ("8", "Rap rock", "Run-D.M.C")]
 TRACKS = [("100", "Houses Of The Holy", "5"), ("101", "King Of Rock", "8"), ("102", "Shot Down In Flames", "6"), ("103", "Rock The Bells", "7"), ("104", "Can You Rock It Like This", "8"), ("105", "Highway To Hell", "6"), ("106", "Kashmir", "5")]
 

@@ -15,6 +15,9 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from .replay import event_time
 
+#: Rows that go into a list of the store with one call.
+LISTED = 4096
+
 
 def _schema(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [T.StructField(n, df.select(F.col(f"`{n}`")).schema[0].dataType) for n in names]
@@ -35,55 +38,76 @@ def _least_first(rows: Iterator[Row], *names: str) -> list[Row]:
 
 
 class _AsOf(StatefulProcessor):
-    """A key's versions by time, and rows that wait until no version of their time can come any more."""
+    """A key's versions by time, and rows that wait until no version of their time can come any more.
+
+    A micro-batch adds what it has of a key to two lists, and has one timer at the earliest time in it. When a timer is due, all that
+    is due is done in one pass over the lists, and what remains gets a timer at its own earliest time.
+    """
 
     def __init__(self, row: T.StructType, version: T.StructType, names: list[str], retention_us: int | None, inner: bool):
         self.row, self.version, self.names, self.retention_us, self.inner = row, version, names, retention_us, inner
 
     def init(self, handle) -> None:
+        # Fields by place: their own names may clash.
+        timed = lambda kind: T.StructType([T.StructField("us", T.LongType()), *[T.StructField(f"f{i}", f.dataType) for i, f in enumerate(kind)]])
         self.handle = handle
-        self.versions = handle.getMapState("versions", "us long", self.version)
-        self.waiting = handle.getMapState("waiting", "us long, n long", self.row)
-        self.count = handle.getValueState("count", "n long")
+        self.versions = handle.getListState("versions", timed(self.version))
+        self.waiting = handle.getListState("waiting", timed(self.row))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        n = self.count.get()[0] if self.count.exists() else 0
+        asked, told = [], []
         for row in rows:
-            if row["_us"] is None:
+            us, version = row["_us"], row["_version"]
+            if us is None:
                 continue
-            if row["_version"] is None:
-                self.waiting.updateValue((row["_us"], n), _parts(row["_row"]))
-                n += 1
+            if version is None:
+                asked.append((us, *_parts(row["_row"])))
             else:
-                self.versions.updateValue((row["_us"],), _parts(row["_version"]))
-            # A watermark of this many milliseconds is past the row's time.
-            self.handle.registerTimer(row["_us"] // 1000 + 1)
-        self.count.update((n,))
+                told.append((us, *_parts(version)))
+        for state, new in ((self.waiting, asked), (self.versions, told)):
+            for k in range(0, len(new), LISTED):
+                state.appendList(new[k : k + LISTED])
+        self._timer(asked + told)
         return iter(())
 
+    def _timer(self, rows: list[tuple]) -> None:
+        """At the earliest time of the rows: a watermark of this many milliseconds is past it."""
+        if rows:
+            self.handle.registerTimer(min(r[0] for r in rows) // 1000 + 1)
+
+    @staticmethod
+    def _keep(state, rows: list[tuple]) -> None:
+        state.clear()
+        for k in range(0, len(rows), LISTED):
+            state.appendList(rows[k : k + LISTED])
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         until = 1000 * timerValues.getCurrentWatermarkInMs()
-        due = sorted(k for k, _ in self.waiting.iterator() if k[0] < until)
-        history = sorted(k[0] for k, _ in self.versions.iterator())
-        out, i, values = [], -1, None
-        make = Row(*self.names)
-        none = (None,) * len(self.version)
-        for us, n in due:
-            before = i
+        due, later = [], []
+        for row in self.waiting.get():
+            (due if row[0] < until else later).append(row)
+        due.sort(key=lambda r: r[0])
+        told = list(self.versions.get())
+        known = {v[0]: v[1:] for v in told}  # of one time the last to arrive
+        history = sorted(known)
+        i, make, none = -1, Row(*self.names), (None,) * len(self.version)
+        for row in due:
+            us = row[0]
             while i + 1 < len(history) and history[i + 1] <= us:
                 i += 1
-            if i != before:
-                values = tuple(self.versions.getValue((history[i],)))
-            known = i >= 0 and (self.retention_us is None or history[i] >= us - self.retention_us)
-            if known or not self.inner:
-                out.append(make(*tuple(self.waiting.getValue((us, n))), *(values if known else none)))
-            self.waiting.removeKey((us, n))
+            if i >= 0 and (self.retention_us is None or history[i] >= us - self.retention_us):
+                yield make(*row[1:], *known[history[i]])
+            elif not self.inner:
+                yield make(*row[1:], *none)
         # Rows still to come are at or after the watermark: of the versions before it only the last can be theirs.
         past = [us for us in history if us < until]
-        for k, us in enumerate(past):
-            if k < len(past) - 1 or (self.retention_us is not None and us < until - self.retention_us):
-                self.versions.removeKey((us,))
-        return iter(out)
+        held = past[-1:] if self.retention_us is None or (past and past[-1] >= until - self.retention_us) else []
+        ahead = [(us, *known[us]) for us in history[len(past) :]]
+        if due:
+            self._keep(self.waiting, later)
+        if len(held) + len(ahead) < len(told):
+            self._keep(self.versions, [*[(us, *known[us]) for us in held], *ahead])
+        self._timer(later + ahead)
 
     def close(self) -> None:
         pass
