@@ -200,3 +200,29 @@ def test_frames_of_an_interval_like_brute_force(spark):
     got = analytic.count_over_range(spark.createDataFrame(rows, "k int, ts timestamp_ntz, i int, range int"), "k", "ts", 3_000_000).select("i", "n").collect()
     near = lambda a, b: (a is None and b is None) or (a is not None and b is not None and dt.timedelta(0) <= a - b <= dt.timedelta(seconds=3))
     assert sorted(map(tuple, got)) == sorted((i, sum(kk == k and near(ts, other) for kk, other, *_ in rows)) for k, ts, i, _ in rows)
+
+
+def test_interval_frames_are_running_sums_and_nothing_is_taken_off(spark, capsys):
+    import datetime as dt
+
+    from tidewheel.operators import analytic, windows
+
+    rng = random.Random(9)
+    base = dt.datetime(1969, 12, 31, 23, 59)  # blocks on both sides of zero
+    value = lambda i: rng.choice([None, rng.randrange(1000) / 100, 1e17 if i % 40 == 0 else 0.5, float("nan") if i % 90 == 7 else 0.25])
+    rows = [(rng.choice(["a", "b", None]), base + dt.timedelta(milliseconds=250 * rng.randrange(700)), i, value(i)) for i in range(500)] + [("a", None, 900, 2.5), ("a", None, 901, 1.5)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, i int, average double")
+    near = lambda a, b: (a is None and b is None) or (a is not None and b is not None and dt.timedelta(0) <= a - b <= dt.timedelta(seconds=3))
+    of = {i: [v for kk, other, _, v in rows if kk == k and near(ts, other)] for k, ts, i, _ in rows}
+    counted = analytic.count_over_range(df, "k", "ts", 3_000_000)
+    assert counted.columns == [*df.columns, "n"]
+    assert {r.i: r.n for r in counted.collect()} == {i: len(vs) for i, vs in of.items()}
+    got = {r.i: r.mean for r in windows.trailing_average(df, "ts", "k", "average", 3000, "mean", 4).collect()}
+    for i, vs in of.items():
+        known = [v for v in vs if v is not None]
+        assert (got[i] is None) if not known else got[i] == pytest.approx(sum(known) / len(known), abs=1e-4, rel=1e-12, nan_ok=True)
+    # A frame with a moving start is added up anew for every row: as many additions as rows times rows in an interval.
+    windows.trailing_average(df, "ts", "k", "average", 3000, "mean").explain()
+    plan = capsys.readouterr().out
+    frames = plan.count("specifiedwindowframe")
+    assert frames and plan.count("unboundedpreceding$(), currentrow$()") == frames

@@ -32,25 +32,37 @@ def rising(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str
     return lagged(df, keys, order, column, name).filter(F.col(column) > F.col(name))
 
 
-def over_interval(df: DataFrame, key: str, ts: str, microseconds: int, value: str, name: str, spans: int = 8) -> DataFrame:
-    """Add ``name``, the aggregate ``value`` (SQL) over each row's key in the interval up to it.
+def over_interval(df: DataFrame, key: str, ts: str, microseconds: int, sums: dict[str, Column]) -> DataFrame:
+    """Add for each name the sum of its value over each row's key in the interval up to the row; null where there is no value.
 
-    A key may hold a large part of all rows, so a key's time is cut into ranges of ``spans`` intervals, each a window partition of its own. Rows
-    of the last interval of a range are copied into the next (a halo): one row in ``spans`` is sent twice.
+    Time is cut into blocks as long as the interval. The interval up to a row is the part of its own block up to it and the part of the block before from the
+    interval's start on, so a running sum in each direction gives both: the work grows with the rows, however many an interval holds, and nothing
+    is taken off a sum again. A block of a key is a window partition, so a hot key is spread over its blocks. Rows without a time have each other in
+    their interval.
     """
-    at, place = fresh(df, "at", "range")
-    width = microseconds * spans
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    first, last = F.floor(micros / width), F.floor((micros + microseconds) / width)
-    ranged = df.withColumn(at, first).withColumn(place, F.explode(F.when(last > first, F.array(first, first + 1)).otherwise(F.array(first))))
-    # A row without a time is in the range null, with the others of its key that have none.
-    frame = f"over (partition by `{key}`, `{place}` order by `{ts}` range between interval '{microseconds / 1e6:.6f}' second preceding and current row)"
-    return ranged.withColumn(name, F.expr(f"{value} {frame}")).filter(F.col(place).eqNullSafe(F.col(at))).drop(at, place)
+    at, block, asks, rest = fresh(df.select("*", *[F.lit(0).alias(n) for n in sums if n not in df.columns]), "at", "block", "asks", "rest")
+    kept = [c for c in df.columns if c not in sums]
+    weights, here, before = ([f"{p}_{block}_{i}" for i in range(len(sums))] for p in ("weight", "here", "before"))
+    column = lambda c: F.col(f"`{c}`")
+    rows = df.select(F.struct(*map(column, kept)).alias(rest), column(key).alias(asks), F.unix_micros(column(ts).cast("timestamp")).alias(at), *[v.alias(w) for w, v in zip(weights, sums.values(), strict=True)])
+    rows = rows.withColumn(block, F.expr(f"`{at}` - pmod(`{at}`, {microseconds}L)"))
+    up_to = Window.partitionBy(asks, block).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({h: F.sum(w).over(up_to) for h, w in zip(here, weights, strict=True)})
+    # Each row once as what is summed, and once, an interval earlier, as what asks for the sum from there on.
+    (own,) = fresh(rows, "own")
+    both = rows.withColumn(own, F.explode(F.array(F.lit(True), F.lit(False))))
+    earlier = lambda c: F.when(F.col(own), F.col(c)).otherwise(F.col(c) - microseconds).alias(c)
+    only = lambda c, mine: F.when(F.col(own) == mine, F.col(c)).alias(c)
+    both = both.select(own, asks, earlier(at), earlier(block), only(rest, False), *[only(w, True) for w in weights], *[only(h, False) for h in here])
+    from_ = Window.partitionBy(asks, block).orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({b: F.sum(w).over(from_) for b, w in zip(before, weights, strict=True)}).filter(~F.col(own))
+    total = lambda h, b: F.coalesce(F.when(F.col(at).isNotNull(), F.col(h) + F.col(b)), F.col(h), F.when(F.col(at).isNotNull(), F.col(b)))
+    return both.select(*[F.col(rest)[c].alias(c) for c in kept], *[total(h, b).alias(n) for n, h, b in zip(sums, here, before, strict=True)])
 
 
 def count_over_range(df: DataFrame, key: str, ts: str, microseconds: int, name: str = "n") -> DataFrame:
     """For each row, its key's rows in the interval up to it."""
-    return over_interval(df, key, ts, microseconds, "count(*)", name)
+    return over_interval(df, key, ts, microseconds, {name: F.lit(1).cast("long")})
 
 
 def average_over_rows(df: DataFrame, order: Sequence[str], column: str, preceding: int, name: str, digits: int = 2, partitions: int | None = None) -> DataFrame:

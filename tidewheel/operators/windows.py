@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from .analytic import over_interval
 from .names import fresh
@@ -75,8 +76,12 @@ def session(df: DataFrame, ts: str, gap: str, keys: Sequence[str] = (), end: str
 
 def trailing_average(df: DataFrame, ts: str, key: str, value: str, milliseconds: int, name: str, digits: int = 2) -> DataFrame:
     """For each row the average of its key over the ``milliseconds`` up to it."""
-    out = over_interval(df, key, ts, milliseconds * 1000, f"avg(`{value}`)", name)
-    return out.withColumn(name, F.round(name, digits))
+    total, n = fresh(df, "total", "count")
+    kind = df.schema[value].dataType
+    exact = F.col(f"`{value}`") if isinstance(kind, DecimalType) else F.col(f"`{value}`").cast("double")
+    out = over_interval(df, key, ts, milliseconds * 1000, {total: exact, n: F.when(exact.isNotNull(), 1).cast("long")})
+    mean = (F.col(total) / F.col(n)).cast(df.select(F.avg(exact)).schema[0].dataType)
+    return out.withColumn(name, F.round(mean, digits)).drop(total, n)
 
 
 def sliding(df: DataFrame, ts_ms: str, key: str, value: str, milliseconds: int, digits: int = 2, scale: int = 6, partitions: int | None = None) -> DataFrame:
