@@ -226,3 +226,11 @@ def test_interval_frames_are_running_sums_and_nothing_is_taken_off(spark, capsys
     plan = capsys.readouterr().out
     frames = plan.count("specifiedwindowframe")
     assert frames and plan.count("unboundedpreceding$(), currentrow$()") == frames
+
+
+def test_count_over_range_adds_up_from_the_first_row_only(spark, capsys):
+    from tidewheel.plans import catalog
+
+    catalog.queries()["over_range_1h"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("unboundedpreceding$(), currentrow$()") == plan.count("specifiedwindowframe") > 0
